@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quillmark.plans import graph_queries, search_queries, tool_queries  # noqa: F401  they register themselves
+from quillmark.plans.registry import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
