@@ -12,6 +12,7 @@ from quillmark.operators.joins import difference, owner_of
 from quillmark.plans.corpus import Corpus, with_corpus
 from quillmark.plans.registry import query
 from quillmark.sources import diff, store
+from quillmark.sources.shared import shared_dir
 from quillmark.streaming import incremental
 
 
@@ -426,7 +427,7 @@ def sync_plan(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     import uuid
 
-    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or 'file:///tmp/quillmark').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     changes = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     incremental.stream_upsert(changes, at, "user_id", "event_id").awaitTermination()
