@@ -7,12 +7,18 @@ global numbering (and no single task) is needed.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import shared_dir
+
+#: The corpora of this process, by application and folder.
+_LOADED: dict[tuple[str, str], Corpus] = {}
+
 BLOCK_LINES = 5
 SIGNATURE = 240
 ID_STEP = 1_000_000
@@ -38,10 +44,27 @@ class Corpus:
     """The model's tables. documents: (doc_id, text, lang, source, n_chars)."""
 
     documents: DataFrame
+    #: Where the derived tables are written once and read from; None computes them in each plan.
+    folder: str | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> Corpus:
-        return cls(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        """The corpus of a folder of tables, whose index is built once in a session, table by table, at first use."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _LOADED:
+            _LOADED[key] = cls(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        return _LOADED[key]
+
+    def stored(self, name: str, table: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return table
+        table.write.parquet(f"{self.folder}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+
+    def build(self) -> Corpus:
+        """Make all tables now."""
+        _ = self.symbols, self.refs, self.vectors
+        return self
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -71,7 +94,7 @@ class Corpus:
             (F.col("k") * BLOCK_LINES + 1).alias("start_line"), F.least(F.size("a"), (F.col("k") + 1) * BLOCK_LINES).alias("end_line"),
             F.array_join(F.slice("a", F.col("k") * BLOCK_LINES + 1, BLOCK_LINES), "\n").alias("body"),
         ).where("name is not null")
-        return whole.unionByName(parts).select("id", "path", "lang", "name", "kind", "start_line", "end_line", signature.alias("signature"), "body")
+        return self.stored("symbols", whole.unionByName(parts).select("id", "path", "lang", "name", "kind", "start_line", "end_line", signature.alias("signature"), "body"))
 
     @cached_property
     def heads(self) -> DataFrame:
@@ -83,14 +106,14 @@ class Corpus:
         """(path, name, line, col): words that are a block's name."""
         names = self.heads.where("kind = 'block'").select("name").distinct()
         words = self.lines.select("path", F.col("lineno").alias("line"), F.posexplode(tokens(F.col("line"))).alias("k", "name")).select("path", "name", "line", (F.col("k") + 1).alias("col"))
-        return words.join(names, "name", "left_semi").select("path", "name", "line", "col")
+        return self.stored("uses", words.join(names, "name", "left_semi").select("path", "name", "line", "col"))
 
     @cached_property
     def refs(self) -> DataFrame:
         """The uses with owner_id: the innermost symbol around them."""
         from quillmark.operators.joins import owner_of
 
-        return owner_of(self.uses, self.heads)
+        return self.stored("refs", owner_of(self.uses, self.heads))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -98,7 +121,7 @@ class Corpus:
         words = self.symbols.where("kind = 'block'").select("id", F.explode(tokens(F.col("body"))).alias("t"))
         raw = words.groupBy("id", "t").count().groupBy("id", hash_slot(F.col("t")).alias("dim")).agg(F.sum(hash_sign(F.col("t")) * F.col("count")).alias("x")).where("x <> 0")
         norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return raw.join(norm, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("x"))
+        return self.stored("vectors", raw.join(norm, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("x")))
 
 
 #: The same tables for the oracle.
