@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import vec
 from quillmark.llm.common import cut, fresh
-from quillmark.llm.components import components
+from quillmark.llm.components import components, join_groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -157,8 +157,8 @@ def candidate_edges(classes: DataFrame, n_runs: int, leaders: int = LEADERS) ->
     now = cut(bucket_table(classes, n_runs), "buckets")
     found = []
     for k in range(leaders):
-        lead = now.groupBy("path").agg(F.min("v").alias("lead"), F.count("*").alias("n")).where("n > 1").select("path", "lead")
-        links = now.join(lead, "path").where("v <> lead")
+        lead = cut(now.groupBy("path").agg(F.min("v").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+        links = join_groups(now, lead, "path", F.col("n")).where("v <> lead").select("path", "v", "lead")
         pairs = links.select("v", "lead").distinct()
         if k == leaders - 1:
             found.append(pairs.select(F.col("v").alias("a"), F.col("lead").alias("b")))
@@ -282,14 +282,15 @@ def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     classes = cut(able.groupBy(F.col("d1").alias("v"), "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.first("sketch").alias("sketch")), "classes")
     blocks = components(candidate_edges(classes, runs(recall)))
     sizes = blocks.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("n"))
-    parts = sizes.select("block", F.ceil(F.col("n") / PART).alias("parts"))
-    members = classes.drop("sketch").join(blocks.select("v", F.col("root").alias("block")), "v").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    parts = cut(sizes.select("block", F.ceil(F.col("n") / PART).alias("parts")), "parts")
+    blocked = classes.drop("sketch").join(blocks.select("v", F.col("root").alias("block")), "v")
+    members = join_groups(blocked, parts, "block", F.col("parts")).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     compared = cut(compare_blocks(documents, cut(members, "members")), "links")
     n_links = compared.where("other is null").groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(compared.where("other is not null").select(F.col("v").alias("a"), F.col("other").alias("b")))
     rep = classes.select("v", "d2", "size", "rep", "docs")
-    least = joined.join(rep.select("v", "rep"), "v").groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = rep.join(joined, "v", "left").join(least, "root", "left").join(n_links, "v", "left")
+    least = cut(joined.join(rep.select("v", "rep"), "v").groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "ids")
+    known = join_groups(rep.join(joined, "v", "left"), least, "root", F.col("n"), "left").join(n_links, "v", "left")
     known = known.select(F.col("v").alias("d1"), "d2", "size", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     mine = table.select("doc_id", "d1", "d2", "size")
     hit = mine.where(F.col("doc_id").isNotNull() & (F.col("size") > 0)).join(known, ["d1", "d2", "size"])
