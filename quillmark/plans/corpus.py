@@ -30,6 +30,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+#: BM25's column weights (fixed values).
+COLUMN_WEIGHTS = {"name": 10.0, "path": 2.0, "body": 1.0}
+
+
 def hash_slot(token: Column) -> Column:
     """A token's dimension."""
     return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(DIM))
@@ -63,7 +67,7 @@ class Corpus:
 
     def build(self) -> Corpus:
         """Make all tables now."""
-        _ = self.symbols, self.refs, self.vectors
+        _ = self.symbols, self.refs, self.vectors, self.postings, self.totals
         return self
 
     @cached_property
@@ -117,11 +121,36 @@ class Corpus:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """(id, dim, x): the blocks' hashed unit vectors, their non-zero parts."""
-        words = self.symbols.where("kind = 'block'").select("id", F.explode(tokens(F.col("body"))).alias("t"))
+        """(id, dim, x): the blocks' hashed unit vectors, their non-zero parts.
+
+        Bodies move once, by id; all three groupings keep that partitioning. The rows lie in ranges of dim, so a query reads
+        its own dimensions only.
+        """
+        words = self.symbols.where("kind = 'block'").select("id", "body").repartition("id").select("id", F.explode(tokens(F.col("body"))).alias("t"))
         raw = words.groupBy("id", "t").count().groupBy("id", hash_slot(F.col("t")).alias("dim")).agg(F.sum(hash_sign(F.col("t")) * F.col("count")).alias("x")).where("x <> 0")
-        norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return self.stored("vectors", raw.join(norm, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("x")))
+        parts = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))  # DIM parts at most
+        norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
+        unit = parts.select("id", norm.alias("norm"), F.explode("p").alias("e")).select("id", "e.dim", (F.col("e.x") / F.col("norm")).alias("x"))
+        return self.stored("vectors", unit.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(term, id, f, dl): the words of each symbol, with weighted counts and the symbol's number of words.
+
+        Rows lie in ranges of (term, id): a lookup reads the row groups of its terms, and a frequent term spans several files.
+        """
+        fields = F.array(*[F.struct(F.lit(w).alias("w"), tokens(F.col(c)).alias("ts")) for c, w in COLUMN_WEIGHTS.items()])
+        rows = self.symbols.select("id", *COLUMN_WEIGHTS).repartition("id").select("id", fields.alias("fields"))
+        length = F.aggregate("fields", F.lit(0), lambda n, x: n + F.coalesce(F.size(x["ts"]), F.lit(0)))
+        words = rows.select("id", length.alias("dl"), F.inline("fields")).select("id", "dl", "w", F.explode("ts").alias("term"))
+        found = words.groupBy("id", "dl", "term").agg(F.sum("w").alias("f")).select("term", "id", "f", "dl")
+        return self.stored("postings", found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """One row (N, avgd): the number of symbols and their mean number of words."""
+        n = sum((F.coalesce(F.regexp_count(F.lower(c), F.lit(WORD)), F.lit(0)) for c in COLUMN_WEIGHTS), F.lit(0))
+        return self.stored("totals", self.symbols.agg(F.count("*").cast("double").alias("N"), F.avg(n).alias("avgd")))
 
 
 #: The same tables for the oracle.

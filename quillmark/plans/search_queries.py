@@ -66,7 +66,7 @@ FOLD12 = _FOLD.format(m=12, h=8, t=3)
 
 @query("bm25_search", with_corpus("SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 20", _bm25_sql(R.query_terms(QUERY))))
 def bm25_search(spark, sf_dir):
-    return R.bm25(Corpus.load(spark, sf_dir).symbols, QUERY).orderBy(F.desc("score"), "id").limit(20)
+    return R.bm25(Corpus.load(spark, sf_dir), QUERY).orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("name_search", with_corpus("SELECT id, covered, exact FROM by_name ORDER BY covered DESC, exact DESC, length, id LIMIT 50", _name_sql("the")))
