@@ -8,26 +8,37 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SUFFIX = re.compile(r"_(v\d+|old|new|legacy|bak)$")
-_SPLIT = re.compile(r"[/_\-]+|(?<=[a-z0-9])(?=[A-Z])")
+#: Version endings, the borders of a name's words, and the thresholds of similarity.
+SUFFIX = r"_(v\d+|old|new|legacy|bak)$"
+BORDER = r"[/_\-]|(?<=[a-z])(?=[A-Z])"
+FLOOR_OVERLAP, FLOOR_RATIO, SHORT = 0.34, 0.75, 3
+
+
+def words_of(name: str) -> set[str]:
+    return {w.lower() for w in re.split(BORDER, name) if w}
+
+
+def jaccard(p: set[str], q: set[str]) -> float:
+    return len(p & q) / len(p | q) if p or q else 0.0
 
 
 def name_similarity(a: str, b: str) -> float:
-    """1 for equal names; for equal last parts by their folders; else the best of token overlap, sequence match and containment."""
-    x, y = (_SUFFIX.sub("", s.lower()) for s in (a, b))
+    """1 for names that differ by case or version only. Equal last parts are judged by their folders: 1 if one has none, else
+    half and half their words' overlap. Otherwise the last parts count, by the best of word overlap, sequence match and
+    containment; 0 for short ones, and across folders unless one of the three is strong."""
+    x, y = (re.sub(SUFFIX, "", s.lower()) for s in (a, b))
     if x == y:
         return 1.0
-    tokens = lambda s: {t.lower() for t in _SPLIT.split(s) if t}
-    overlap = lambda p, q: len(p & q) / len(p | q) if p | q else 0.0
-    (xa, _, xb), (ya, _, yb) = x.rpartition("/"), y.rpartition("/")
-    if xb == yb:
-        return 1.0 if not xa or not ya else 0.5 + 0.5 * overlap(tokens(xa), tokens(ya))
-    p, q = tokens(a), tokens(b)
-    shared = overlap(p, q)
-    ratio = SequenceMatcher(None, x, y).ratio()
-    inside = min(len(x), len(y)) / max(len(x), len(y)) if min(len(x), len(y)) > 3 and (x in y or y in x) else 0.0
-    best = max(shared, inside, ratio if shared >= 0.34 or ratio >= 0.75 else 0.0)
-    return best
+    (folder_x, _, x), (folder_y, _, y) = x.rpartition("/"), y.rpartition("/")
+    if x == y:
+        return 0.5 + 0.5 * jaccard(words_of(folder_x), words_of(folder_y)) if folder_x and folder_y else 1.0
+    overlap, ratio = jaccard(words_of(x), words_of(y)), SequenceMatcher(None, x, y).ratio()
+    short, long = sorted((len(x), len(y)))
+    inside = 0.5 + 0.5 * short / long if short and (x in y or y in x) else 0.0
+    weak = overlap < FLOOR_OVERLAP and not inside and ratio < FLOOR_RATIO
+    if (weak and folder_x and folder_y and folder_x != folder_y) or (short <= SHORT and overlap < 1):
+        return 0.0
+    return max(overlap, ratio, inside)
 
 
 def name_similarity_of(a: Column, b: Column) -> Column:

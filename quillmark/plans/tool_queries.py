@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions.similarity import name_similarity_of, render_html
 from quillmark.operators import aggregates as A
-from quillmark.operators import clones, tree
+from quillmark.operators import clones, references, tree
 from quillmark.operators.joins import difference, owner_of
 from quillmark.plans.corpus import Corpus, with_corpus
 from quillmark.plans.registry import query
@@ -473,3 +473,20 @@ def bare_refs(spark, sf_dir):
 def rename_refs(spark, sf_dir):
     rx = "(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])"
     return _docs(spark, sf_dir).where(F.col("text").rlike(rx)).select("doc_id", F.md5(F.regexp_replace("text", rx, "$1renamed/reth$2").cast("binary")).alias("text"))
+
+
+def _notes(spark, sf_dir):
+    """Each document is a note; a text's first long word of small letters is a name."""
+    d = _docs(spark, sf_dir)
+    names = d.select(F.regexp_extract("text", "\\b[a-z]{8,}\\b", 0).alias("name")).where("name <> ''").distinct()
+    return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), "text"), names
+
+
+@query("fuzzy_refs")
+def fuzzy_refs(spark, sf_dir):
+    return references.near_misses(*_notes(spark, sf_dir))
+
+
+@query("auto_prefix")
+def auto_prefix(spark, sf_dir):
+    return references.auto_prefix(*_notes(spark, sf_dir), flat=True).select("name", F.md5(F.col("text").cast("binary")).alias("text"), F.size("names").alias("names"), "n")
