@@ -86,7 +86,7 @@ class OutputCodes:
 
         got = sorted(arrow_map(sample, features, "doc_id long, lang string, col binary, val binary").collect())
         cols = [np.frombuffer(r.col, np.int32) for r in got]
-        x = Rows(np.repeat(np.arange(len(got)), [len(i) for i in cols]), np.concatenate(cols), np.concatenate([np.frombuffer(r.val, np.float32) for r in got]), len(got))
+        x = Rows(cols, [np.frombuffer(r.val, np.float32) for r in got])
         return cls.fit_rows(x, np.array([languages.index(r.lang) for r in got]), languages)
 
     @classmethod

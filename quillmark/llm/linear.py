@@ -5,22 +5,40 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Entries that a product takes at once.
+BLOCK = 1 << 19
+
+
 class Rows:
-    """Sparse rows: for each entry its row, its column and its value."""
+    """Sparse rows: for each entry its row, its column and its value. Products go block by block, so nothing as long as the
+    entries is made beside them."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int):
-        self.row, self.col, self.val, self.n = row, col, val.astype(np.float32), n
+    def __init__(self, cols: list[np.ndarray], vals: list[np.ndarray]):
+        self.n = len(cols)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.array([len(c) for c in cols], np.int64))
+        self.col = np.concatenate([np.zeros(0, np.int32), *cols])
+        self.val = np.concatenate([np.zeros(0, np.float32), *vals])
 
     def take(self, keep: np.ndarray) -> Rows:
-        to = np.cumsum(keep) - 1
-        m = keep[self.row]
-        return Rows(to[self.row[m]], self.col[m], self.val[m], int(keep.sum()))
+        to, m, out = np.cumsum(keep, dtype=np.int32) - 1, keep[self.row], Rows([], [])
+        out.n, out.row, out.col, out.val = int(keep.sum()), to[self.row[m]], self.col[m], self.val[m]
+        return out
+
+    def _blocks(self):
+        for lo in range(0, len(self.row), BLOCK):
+            yield self.row[lo : lo + BLOCK], self.col[lo : lo + BLOCK], self.val[lo : lo + BLOCK]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.n)
+        out = np.zeros(self.n)
+        for row, col, val in self._blocks():
+            out += np.bincount(row, weights=val * w[col], minlength=self.n)
+        return out
 
     def back(self, g: np.ndarray, d: int) -> np.ndarray:
-        return np.bincount(self.col, weights=self.val * g[self.row], minlength=d)
+        out = np.zeros(d)
+        for row, col, val in self._blocks():
+            out += np.bincount(col, weights=val * g[row], minlength=d)
+        return out
 
 
 def sigmoid(z):

@@ -122,14 +122,21 @@ class QualityRules:
             cols = [pa.array([x[k].tobytes() for x in cells], pa.binary()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "label", "col", "val"])
 
-        rows = sorted(arrow_map(sample, features, "doc_id long, label int, col binary, val binary").collect())
-        if len({r.label for r in rows}) < 2:
+        rows = arrow_map(sample, features, "doc_id long, label int, col binary, val binary").toArrow()
+        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+        y = rows["label"].to_numpy().astype(float)[order]
+        if len(np.unique(y)) < 2:
             return cls()
-        cols, y = [np.frombuffer(r.col, np.int32) for r in rows], np.array([r.label for r in rows], float)
-        x = Rows(np.repeat(np.arange(len(rows)), [len(i) for i in cols]), np.concatenate(cols), np.concatenate([np.frombuffer(r.val, np.float32) for r in rows]), len(rows))
-        seen = np.arange(len(rows)) % 5 != 0
-        w, b = fit(x.take(seen), y[seen], class_weights(y[seen]), 1 << BITS)
-        slope, shift = platt((x.dot(w) + b)[~seen], y[~seen], class_weights(y[~seen], counts))
+        seen = np.arange(len(order)) % 5 != 0
+
+        def part(at: np.ndarray) -> Rows:
+            cells = lambda name, kind: [np.frombuffer(rows[name][i].as_buffer(), kind) for i in order[at].tolist()]
+            return Rows(cells("col", np.int32), cells("val", np.float32))
+
+        x, rest = part(seen), part(~seen)
+        del rows
+        w, b = fit(x, y[seen], class_weights(y[seen]), 1 << BITS)
+        slope, shift = platt(rest.dot(w) + b, y[~seen], class_weights(y[~seen], counts))
         return cls(w, b, slope, shift)
 
     def score(self, column) -> dict[str, np.ndarray]:
