@@ -1,6 +1,7 @@
 """Similarity of names, and plain text of HTML: Arrow functions where no built-in one has the semantics."""
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -41,6 +42,16 @@ def name_similarity(a: str, b: str) -> float:
     return max(overlap, ratio, inside)
 
 
+def may_reach(a: str, b: str, least: float) -> bool:
+    """False only where the similarity of a and b can't be least: a quick test that spares the sequence match."""
+    x, y = (re.sub(SUFFIX, "", s.lower()).rpartition("/")[2] for s in (a, b))
+    if x == y:
+        return True
+    p, q = (Counter(s) for s in (x, y))
+    most = 2 * (p & q).total() / (len(x) + len(y))
+    return most >= least or x in y or y in x or jaccard(words_of(x), words_of(y)) >= least
+
+
 def name_similarity_of(a: Column, b: Column) -> Column:
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([round(name_similarity(p or "", q or ""), 6) for p, q in zip(x, y, strict=True)])

@@ -1,4 +1,4 @@
-"""Integrity of references between notes: unmarked mentions of names, near misses, and their marking.
+"""Integrity of references between notes: stale references and their likely targets, unmarked mentions, near misses, and marking.
 
 A mention is a whole run of name characters, so names are found by equi-joins on runs and never by trying each name on each
 text. notes: (name, text); names: (name). Null texts mention nothing.
@@ -6,10 +6,13 @@ text. notes: (name, text); names: (name). Null texts mention nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.similarity import BORDER, SUFFIX, name_similarity_of
+from quillmark.functions.similarity import BORDER, SUFFIX, may_reach, name_similarity, name_similarity_of
 
 #: The mark, a name's characters, and the thresholds.
 MARK = "mem:"
@@ -18,6 +21,9 @@ IGNORED = ("core",)
 DISTINCT_LENGTH = 10
 LEAST_SIMILARITY = 0.55
 LEAST_OVERLAP = 0.6
+TARGETS = 3
+#: Missing names that one pass over the names looks for.
+PASS = 5000
 
 _BEFORE, _AFTER = rf"(?<!{MARK})(?<!{CHARS})", rf"(?!{CHARS})"
 
@@ -52,6 +58,48 @@ def unmarked(notes: DataFrame, names: DataFrame) -> DataFrame:
     return found.select("source", F.col("token").alias("name"), "n", distinctive(F.col("token")).alias("confident"))
 
 
+def stale(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, name): marked references to names that don't exist, once each for a note."""
+    marked = F.regexp_extract_all("text", F.lit(f"(?<!{CHARS}){MARK}({CHARS}+){_AFTER}"), F.lit(1))
+    found = notes.select(F.col("name").alias("source"), F.explode(marked).alias("name")).distinct()
+    return found.join(names.select("name").distinct(), "name", "left_anti").select("source", "name")
+
+
+def likely_targets(missing: DataFrame, names: DataFrame, k: int = TARGETS, least: float = LEAST_SIMILARITY, block: int = PASS) -> DataFrame:
+    """(name, target, score): for each distinct missing name its k most similar names of score least or more; ties by name.
+
+    The missing names are the query set: about `block` of them at a time go over all names in Arrow batches, each of which
+    passes on k a missing name at most.
+    """
+    missing, every = missing.select("name").distinct(), names.select(F.col("name").alias("target")).where("target is not null").distinct()
+    passes = max(1, -(-missing.count() // block))
+    found = None
+    for i in range(passes):
+        asked = [r.name for r in missing.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == i).collect()]
+
+        def each(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                known, rows = b.column(0).to_pylist(), []
+                for a in asked:
+                    scored = ((-round(name_similarity(a, n), 6), n) for n in known if may_reach(a, n, least))
+                    rows += [(a, n, -s) for s, n in sorted(x for x in scored if -x[0] >= least)[:k]]
+                cols = [[r[j] for r in rows] for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["name", "target", "score"])
+
+        part = every.mapInArrow(each, "name string, target string, score double")
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "target"))
+    return found.withColumn("k", rank).where(F.col("k") <= k).select("name", "target", "score")
+
+
+def stale_report(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, name, targets): stale references with the names most likely meant, the best first."""
+    found = stale(notes, names)
+    best = likely_targets(found, names).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "target"))), lambda x: x["target"]).alias("targets"))
+    none = F.array().cast("array<string>")
+    return found.join(best, "name", "left").select("source", "name", F.coalesce("targets", none).alias("targets"))
+
+
 def _rare_words(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """(name, words, word): the rarest words of each name, one of which any name of LEAST_OVERLAP shares."""
     at = rows.select("name", words_of(F.col("name")).alias("words"))

@@ -1,4 +1,4 @@
-"""Line-wise text search."""
+"""Text search, by line and across lines."""
 
 from __future__ import annotations
 
@@ -26,6 +26,41 @@ def with_context(documents: DataFrame, pattern: str, before: int, after: int) ->
     return rows.select("doc_id", F.col("k").cast("long").alias("line_no"), "k", "a", F.explode(place).alias("place")).select("doc_id", "line_no", F.col("place").cast("long").alias("place"), F.get("a", F.col("k") + F.col("place")).alias("line"))
 
 
+def across_lines(documents: DataFrame, pattern: str, before: int = 0, after: int = 0) -> DataFrame:
+    """(doc_id, match, line_no, place, line): for each match in a whole text, numbered from 0, its lines and those around them.
+
+    `^` and `$` hold at lines' bounds and `.` matches line feeds. Lines count from 0 and the context ends with the text; place
+    is -1 before the match, 0 within it and 1 after it. Offsets are what built-in functions don't give, so this is an Arrow
+    scan, behind a built-in test of the pattern. The pattern is one that both Java and Python read.
+    """
+    import re
+    from bisect import bisect_right
+
+    import pyarrow as pa
+
+    compiled = re.compile(pattern, re.MULTILINE | re.DOTALL)
+
+    def of(text: str):
+        lines = text.split("\n")
+        starts = [0]
+        for x in lines[:-1]:
+            starts.append(starts[-1] + len(x) + 1)
+        last = len(lines) - 1 - (lines[-1] == "")
+        for n, m in enumerate(compiled.finditer(text)):
+            a, b = (bisect_right(starts, p) - 1 for p in m.span())
+            for k in range(max(0, a - before), min(last, b + after) + 1):
+                yield n, k, -1 if k < a else 1 if k > b else 0, lines[k]
+
+    def each(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        for batch in batches:
+            rows = [(d, *r) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["doc_id", "match", "line_no", "place", "line"])
+
+    hit = documents.where(F.col("text").rlike(f"(?ms){pattern}")).select("doc_id", "text")
+    return hit.mapInArrow(each, "doc_id long, match long, line_no long, place long, line string")
+
+
 def containing(blocks: DataFrame, bodies: DataFrame, most_chars: int = 16_000_000) -> DataFrame:
     """(item_id, n): how many bodies hold each block's text. The blocks are a stated query set: their size is checked, and they
     are searched in one pass of the bodies as literals of an Arrow scan."""

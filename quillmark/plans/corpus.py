@@ -43,6 +43,23 @@ def hash_sign(token: Column) -> Column:
     return F.when(F.substring(F.md5(token.cast("binary")), 9, 1) >= "8", -1.0).otherwise(1.0)
 
 
+def hashed_vectors(bodies: DataFrame) -> DataFrame:
+    """(id, dim, x): the hashed unit vectors of (id, body), their non-zero parts. Bodies move once, by id; all three groupings
+    keep that partitioning."""
+    words = bodies.repartition("id").select("id", F.explode(tokens(F.col("body"))).alias("t"))
+    raw = words.groupBy("id", "t").count().groupBy("id", hash_slot(F.col("t")).alias("dim")).agg(F.sum(hash_sign(F.col("t")) * F.col("count")).alias("x")).where("x <> 0")
+    parts = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))  # DIM parts at most
+    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
+    return parts.select("id", norm.alias("norm"), F.explode("p").alias("e")).select("id", "e.dim", (F.col("e.x") / F.col("norm")).alias("x"))
+
+
+def dense(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of sparse vectors (id, dim, x)."""
+    rows = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "x"))).alias("p"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.coalesce(F.try_element_at("p", k), F.lit(0.0)))
+    return rows.select(F.col("id").alias("vec_id"), at.alias("embedding"))
+
+
 @dataclass
 class Corpus:
     """The model's tables. documents: (doc_id, text, lang, source, n_chars)."""
@@ -121,16 +138,9 @@ class Corpus:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """(id, dim, x): the blocks' hashed unit vectors, their non-zero parts.
-
-        Bodies move once, by id; all three groupings keep that partitioning. The rows lie in ranges of dim, so a query reads
-        its own dimensions only.
-        """
-        words = self.symbols.where("kind = 'block'").select("id", "body").repartition("id").select("id", F.explode(tokens(F.col("body"))).alias("t"))
-        raw = words.groupBy("id", "t").count().groupBy("id", hash_slot(F.col("t")).alias("dim")).agg(F.sum(hash_sign(F.col("t")) * F.col("count")).alias("x")).where("x <> 0")
-        parts = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))  # DIM parts at most
-        norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-        unit = parts.select("id", norm.alias("norm"), F.explode("p").alias("e")).select("id", "e.dim", (F.col("e.x") / F.col("norm")).alias("x"))
+        """(id, dim, x): the blocks' hashed unit vectors, their non-zero parts. The rows lie in ranges of dim, so a query reads
+        its own dimensions only."""
+        unit = hashed_vectors(self.symbols.where("kind = 'block'").select("id", "body"))
         return self.stored("vectors", unit.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id"))
 
     @cached_property

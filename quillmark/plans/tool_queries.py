@@ -9,7 +9,7 @@ from quillmark.functions.similarity import name_similarity_of, render_html
 from quillmark.operators import aggregates as A
 from quillmark.operators import clones, references, tree
 from quillmark.operators.joins import difference, owner_of
-from quillmark.plans.corpus import Corpus, with_corpus
+from quillmark.plans.corpus import DIM, ID_STEP, WORD, Corpus, with_corpus
 from quillmark.plans.registry import query
 from quillmark.sources import diff, store
 from quillmark.sources.shared import shared_dir
@@ -52,6 +52,14 @@ def search_text_ctx(spark, sf_dir):
     return with_context(_docs(spark, sf_dir), "^Th[ae]t? ", 1, 1)
 
 
+@query("search_text_multiline")
+def search_text_multiline(spark, sf_dir):
+    """Matches that run over a line's end, with a line of context on each side."""
+    from quillmark.operators.scan import across_lines
+
+    return across_lines(_docs(spark, sf_dir), r"[a-z]+tion[.,]?\n[A-Z][a-z]+", 1, 1)
+
+
 @query("search_files", with_corpus("SELECT path, count(*) AS n FROM lines WHERE regexp_matches(path, '^src(1|2)/(en|de)/.*$') AND NOT regexp_matches(path, '^src2/de/.*$') AND regexp_matches(line, 'heit|tion') GROUP BY path"))
 def search_files(spark, sf_dir):
     keep = T.any_rlike(F.col("path"), T.path_globs("src{1,2}/{en,de}/**")) & ~T.any_rlike(F.col("path"), T.path_globs("src2/de/**"))
@@ -442,8 +450,29 @@ def find_duplicates(spark, sf_dir):
     return clones.duplicate_groups(_t(spark, sf_dir, "embeddings"), 0.45, 50)
 
 
-@query("clones_in_diff", with_corpus("SELECT b.item_id, count(DISTINCT s.path) AS n FROM benchmark b JOIN symbols s ON s.kind = 'document' AND contains(s.body, b.text) GROUP BY b.item_id"))
+#: Added blocks: the benchmark's items, and, as changed lines, the first block of each document whose id is divisible by 50.
+_ADDED_SQL = (
+    f"""added AS (SELECT 2 * item_id AS block, 'added/item_' || item_id || '.txt' AS path, 1 AS start_line, len(string_split(text, chr(10))) AS end_line, text FROM benchmark
+ UNION ALL SELECT 2 * id + 1, path, start_line, end_line, body FROM symbols WHERE kind = 'block' AND start_line = 1 AND (id // {ID_STEP}) % 50 = 0)""",
+    f"av0 AS (SELECT block, ('0x' || substr(md5(t), 1, 8))::BIGINT % {DIM} AS dim, sum(CASE WHEN substr(md5(t), 9, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS x FROM (SELECT block, unnest(regexp_extract_all(lower(text), '{WORD}')) AS t FROM added) GROUP BY ALL HAVING x <> 0)",
+    "av AS (SELECT block, dim, x / sqrt(sum(x * x) OVER (PARTITION BY block)) AS x FROM av0)",
+    "near AS (SELECT block, v.id, round(sum(a.x * v.x), 6) AS cosine FROM av a JOIN vectors v ON a.dim = v.dim GROUP BY ALL)",
+    "five AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY cosine DESC, id) AS k FROM near)",
+    "judged AS (SELECT b.block, n.id, n.cosine, row_number() OVER (PARTITION BY b.block ORDER BY n.k) AS j FROM five n JOIN added b ON n.block = b.block JOIN symbols s ON s.id = n.id WHERE n.k <= 5 AND NOT (s.path = b.path AND s.end_line >= b.start_line AND s.start_line <= b.end_line))",
+)
+
+
+@query("clones_in_diff", with_corpus("SELECT block, id, cosine AS similarity FROM judged WHERE j = 1 AND cosine >= 0.85 ORDER BY similarity DESC, block LIMIT 50", *_ADDED_SQL))
 def clones_in_diff(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    items = _t(spark, sf_dir, "benchmark").select((F.col("item_id") * 2).alias("block"), F.concat(F.lit("added/item_"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), "text")
+    first = (F.col("kind") == "block") & (F.col("start_line") == 1) & (F.floor(F.col("id") / ID_STEP) % 50 == 0)
+    changed = c.symbols.where(first).select((F.col("id") * 2 + 1).alias("block"), "path", "start_line", "end_line", F.col("body").alias("text"))
+    return clones.clones_of_added(c, items.unionByName(changed), min_lines=1)
+
+
+@query("blocks_contained", with_corpus("SELECT b.item_id, count(DISTINCT s.path) AS n FROM benchmark b JOIN symbols s ON s.kind = 'document' AND contains(s.body, b.text) GROUP BY b.item_id"))
+def blocks_contained(spark, sf_dir):
     from quillmark.operators.scan import containing
 
     return containing(_t(spark, sf_dir, "benchmark").select("item_id", "text"), _c(spark, sf_dir).docs.select("path", F.col("text").alias("body")))
@@ -482,6 +511,14 @@ def _notes(spark, sf_dir):
     return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), "text"), names
 
 
+@query("stale_targets")
+def stale_targets(spark, sf_dir):
+    """Each document's words of -tion become marked references; those that no name equals are stale."""
+    notes, names = _notes(spark, sf_dir)
+    marked = notes.withColumn("text", F.regexp_replace("text", "\\b([a-z]+tion)\\b", f"{references.MARK}$1"))
+    return references.stale_report(marked, names).select("source", "name", F.array_join("targets", ",").alias("targets"))
+
+
 @query("fuzzy_refs")
 def fuzzy_refs(spark, sf_dir):
     return references.near_misses(*_notes(spark, sf_dir))

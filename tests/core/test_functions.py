@@ -73,3 +73,33 @@ def test_bursts_deny_and_silence(spark):
     rows = [(k, 1, "search", 10 * k) for k in range(1, 5)] + [(9, 1, "purchase", 500), (10, 2, "search", 0)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, at long").withColumn("ts", F.timestamp_seconds("at"))
     assert {r.event_id for r in burst_denials(events).where("denied").collect()} == {3}
+
+
+@pytest.mark.parametrize(("pattern", "before", "after"), [("b.c", 0, 0), ("b.c", 1, 1), ("^d$", 2, 0), ("a.*d", 0, 5), ("x*", 0, 0), ("e\\n", 1, 1)])
+def test_matches_across_lines(spark, pattern, before, after):
+    import re
+
+    from quillmark.operators.scan import across_lines
+
+    texts = {1: "a\nb\nc\nd\ne\n", 2: "", 3: None, 4: "b c\n\nb\nc", 5: "é b\nc é"}
+    want = []
+    for i, t in texts.items():
+        for n, m in enumerate(re.finditer(pattern, t or "", re.MULTILINE | re.DOTALL) if t is not None else ()):
+            a, b = t[: m.start()].count("\n"), t[: m.end()].count("\n")
+            lines = t.splitlines()
+            for k in range(max(0, a - before), min(len(lines) - 1, b + after) + 1):
+                want.append((i, n, k, -1 if k < a else 1 if k > b else 0, lines[k]))
+    got = across_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), pattern, before, after).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_added_blocks_pass_over_themselves(spark):
+    from quillmark.operators.clones import clones_of_added
+
+    body = "\n".join(f"one two three four word{k}" for k in range(5))
+    corpus = Corpus(spark.createDataFrame([(1, body, "en", "s", 1), (2, body, "en", "s", 1), (3, "\n".join("quite other things here now" for _ in range(5)), "en", "s", 1)], DOCS))
+    added = spark.createDataFrame([(1, "s/en/doc_1.txt", 1, 5, body), (2, "new.txt", 1, 5, body), (3, "new.txt", 1, 4, body), (4, "s/en/doc_3.txt", 3, 9, "quite other things here now"), (5, "new.txt", 9, 20, "nothing shared whatsoever at all")], "block long, path string, start_line int, end_line int, text string")
+    for block in (1, 100):
+        got = [tuple(r) for r in clones_of_added(corpus, added, block=block).collect()]
+        assert got == [(1, 2_000_001, 1.0), (2, 1_000_001, 1.0)]
+    assert clones_of_added(corpus, added.limit(0)).count() == 0

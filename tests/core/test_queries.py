@@ -8,7 +8,7 @@ import pytest
 from quillmark import catalog
 
 #: Each of these stands for a family; the driver compares all.
-SOME = ("bm25_search", "name_search", "substring_search", "hybrid_search", "hybrid_filtered", "knn_join", "ref_owner", "dependents", "dependencies", "call_chain", "project_graph_edges", "busiest", "file_summary", "find_duplicates", "clones_in_diff", "diff_blocks", "search_text_ctx", "line_edits", "incremental_report", "burst_counter", "symbol_tree", "diag_diff", "rename_refs")
+SOME = ("bm25_search", "name_search", "substring_search", "hybrid_search", "hybrid_filtered", "knn_join", "ref_owner", "dependents", "dependencies", "call_chain", "project_graph_edges", "busiest", "file_summary", "find_duplicates", "clones_in_diff", "blocks_contained", "diff_blocks", "search_text_ctx", "line_edits", "incremental_report", "burst_counter", "symbol_tree", "diag_diff", "rename_refs")
 
 
 @pytest.fixture(scope="module")

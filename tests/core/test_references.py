@@ -72,3 +72,28 @@ def test_empty_tables(tables):
     notes, names = tables
     for f in (R.unmarked, R.near_misses, R.auto_prefix):
         assert f(notes.limit(0), names).isEmpty() and f(notes, names.limit(0)).isEmpty()
+
+
+def test_stale_references_and_their_targets(spark, tables):
+    notes = [(n, f"see mem:{t}, mem:{t} and xmem:gone" if t else t) for n, t in (("a", "auth/log-in"), ("b", "deployment_guide"), ("c", "setup"), ("d", "zzz"), ("e", None))]
+    got = {(r.source, r.name): r.targets for r in R.stale_report(spark.createDataFrame(notes, "name string, text string"), tables[1]).collect()}
+    want = {}
+    for source, missing in (("a", "auth/log-in"), ("b", "deployment_guide"), ("d", "zzz")):
+        scored = sorted((-name_similarity(missing, n), n) for n in NAMES)
+        want[source, missing] = [n for s, n in scored if -s >= 0.55][:3]
+    assert got == want and got["b", "deployment_guide"]
+
+
+@pytest.mark.parametrize("block", [1, 5000])
+def test_targets_of_all_names_equal_brute_force(spark, tables, block):
+    missing = ["gridLayout", "layout", "conventions_old", "style-guide", "repo_structure", "x", "api/core2", "auth/login/more"]
+    got = {(r.name, r.target, r.score) for r in R.likely_targets(spark.createDataFrame([(m,) for m in missing], "name string"), tables[1], block=block).collect()}
+    want = set()
+    for m in missing:
+        scored = sorted((-round(name_similarity(m, n), 6), n) for n in NAMES)
+        want |= {(m, n, -s) for s, n in scored[:3] if -s >= 0.55}
+    assert got == want and len(got) > 5
+
+
+def test_no_missing_names(spark, tables):
+    assert R.likely_targets(tables[1].limit(0), tables[1]).count() == 0
