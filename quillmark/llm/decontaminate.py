@@ -87,7 +87,7 @@ class Matcher:
         if not text or not self.items:
             return []
         found: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 item, at = self.items[n][1], end + 1 - size - offset
@@ -100,11 +100,13 @@ class Matcher:
                 elif text.startswith(item, at) if at >= 0 else False:
                     found[n] = (0, at + len(item))
                 else:
-                    if at <= tried.get(n, -1 - k):  # this alignment lies within a part already searched
+                    group = at // (k + 1)  # alignments [first, first + k] share one searched part
+                    if (n, group) in tried:
                         continue
-                    lo = max(0, at - k)
-                    tried[n] = at + k
-                    if got := myers(item, text[lo : at + len(item) + 2 * k], k):
+                    tried.add((n, group))
+                    first = group * (k + 1)
+                    lo = max(0, first - k)
+                    if got := myers(item, text[lo : max(0, first + len(item) + 2 * k)], k):
                         if n not in found or got[0] < found[n][0]:
                             found[n] = (got[0], lo + got[1])
                 if first_only and found:

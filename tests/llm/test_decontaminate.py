@@ -55,6 +55,26 @@ def test_search_equals_brute_force(words):
         assert {(i, d) for i, d, _ in m.search(t)} == want
 
 
+def test_items_that_repeat_phrases_equal_brute_force(words):
+    """A piece that recurs in its item is first met at an alignment beyond the occurrence's own."""
+    phrase = "the cat sat down the cat sat down the cat sat down"
+    rng, items = random.Random(6), [(0, phrase)]
+    for k in range(1, 12):
+        items.append((k, " ".join(" ".join(words(rng.randint(1, 3), k)) for _ in range(rng.randint(4, 8)))))
+    texts = ["thx cat sat dowx the cat sat down the cat sat down"]
+    for k in range(120):
+        t = items[k % 12][1]
+        for _ in range(rng.randint(1, Matcher.budget(t) + 1)):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", "q", t[at] + "q"]) + t[at + 1 :]
+        texts.append(t)
+    texts = [f"{' '.join(words(4, 900 + k))} {t} {' '.join(words(4, 700 + k))}" for k, t in enumerate(texts)]
+    m = Matcher(tuple(items))
+    for t in texts:
+        want = {(i, d) for i, x in items if (d := within(normal(x), normal(t))) <= Matcher.budget(normal(x))}
+        assert {(i, d) for i, d, _ in m.search(t)} == want
+
+
 @pytest.mark.parametrize("block", [16_000_000, 60])
 def test_blocks_give_the_same_rows(spark, docs_of, words, odd, block):
     items = [(k, " ".join(words(12, k))) for k in range(6)] + [(7, None), (8, " "), (9, " ".join(words(12, 0))), (None, " ".join(words(12, 1)))]
