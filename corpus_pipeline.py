@@ -34,9 +34,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents by calibrated probabilities, with their tokens, raked weights and probabilities."""
-    n = mixing.names(docs)
-    return mixing.mix(docs).where(F.col(n["kept"])).drop(n["kept"])
+    """A sample of the documents with their tokens, raked weights and numbers of copies; tokens * copies meet the targets."""
+    return mixing.draw(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_benchmark), ("mixing", mix_sources)]

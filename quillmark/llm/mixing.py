@@ -3,7 +3,9 @@
 Tokens (words) are summed by cell of source, language and topic. Raking multiplies the cells' weights, margin after margin,
 until each margin's weighted tokens meet its target. The rate r solves  sum T * min(1, r * w) = FRACTION * sum T,  and a
 document of a cell with weight w is kept with probability p = min(1, r * w), by a hash of its id: the same documents at
-any partitioning.
+any partitioning. Documents kept at most once can't meet the targets of scarce cells (r * w > 1): `mix` and its `kept` miss
+the margins there. `draw` meets them: a document stands for FRACTION * w copies, the whole part of that for sure and one more
+with the probability of the rest, so the expected tokens * copies of each margin are FRACTION times its target.
 
 `documents` has no topic column, so the queries use the form of a text as its topic: brief, article or long by its words
 (see `form`); any column or expression can take its place.
@@ -130,5 +132,13 @@ def mix(documents: DataFrame, topic: Column | None = None, **settings) -> DataFr
     return docs.join(got, same).drop(*own).withColumn(n["kept"], uniform() < F.col(n["p"]))
 
 
+def draw(documents: DataFrame, topic: Column | None = None, fraction: float = FRACTION, **settings) -> DataFrame:
+    """The documents with at least one copy, once each, with tokens, topic, weight and their number of copies."""
+    n, copies = names(documents), fresh(documents, "copies")
+    mean = F.col(n["weight"]) * F.lit(float(fraction))
+    out = mix(documents, topic, fraction=fraction, **settings).drop(n["p"], n["kept"])
+    return out.withColumn(copies, (F.floor(mean) + (uniform() < mean - F.floor(mean)).cast("long")).cast("long")).where(F.col(copies) > 0)
+
+
 def names(documents: DataFrame) -> dict[str, str]:
     return {x: fresh(documents, x) for x in ("tokens", "topic", "weight", "p", "kept")}

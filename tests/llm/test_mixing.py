@@ -19,6 +19,33 @@ def test_margins_are_met(spark):
     assert abs(out.tokens[out.kept].sum() - mixing.FRACTION * total) < 0.15 * total
 
 
+def test_drawn_copies_meet_the_margins(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    all_, out = mixing.mix(docs).toPandas(), mixing.draw(docs).toPandas()
+    assert (out.copies >= 1).all() and out.doc_id.is_unique and out.copies.max() > 1
+    whole = all_.tokens.sum()
+    assert abs((out.tokens * out.copies).sum() - mixing.FRACTION * whole) < 0.05 * whole
+    drawn = (out.tokens * out.copies).groupby(out.topic).sum() / (out.tokens * out.copies).sum()
+    assert np.allclose(drawn[["article", "brief", "long"]], 1 / 3, atol=0.03)
+    mean = mixing.FRACTION * all_.weight
+    of = dict(zip(out.doc_id, out.copies, strict=True))
+    got = all_.doc_id.map(of).fillna(0)
+    assert (got >= np.floor(mean)).all() and (got <= np.floor(mean) + 1).all()
+    for m in mixing.MARGINS:
+        target = (all_.groupby(m).tokens.sum() / whole) ** mixing.TEMPER[m]
+        share = (all_.tokens * mean).groupby(all_[m]).sum() / (all_.tokens * mean).sum()
+        assert np.allclose(share, target / target.sum(), atol=0.01), m
+
+
+def test_the_pipeline_s_last_stage_meets_the_topics(spark):
+    import corpus_pipeline
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    out = corpus_pipeline.mix_sources(spark, docs, "").toPandas()
+    tokens = out.tokens * out.get("copies", 1)
+    assert np.allclose(tokens.groupby(out.topic).sum() / tokens.sum(), 1 / 3, atol=0.03)
+
+
 def test_rate_keeps_heavy_cells_whole():
     t, w = np.array([10.0, 10.0, 100.0]), np.array([50.0, 1.0, 0.1])
     r = mixing.rate(t, w)
