@@ -2,8 +2,10 @@
 
 Terms are a text's lower-cased runs of letters and digits and those runs' 4- and 5-letter beginnings, as 64-bit hashes.
 The labelled sample screens them: a term stays if it occurs in MIN_DOCS sampled documents and its share among toxic
-documents differs from that among others by MIN_Z standard errors. A document is the set of its terms that stay, and its
-score is  b + sum w_i + sum_{i<j} <v_i, v_j>:  the factors learn pairs (an insult beside a mention of a group) that
+documents differs from that among others by MIN_Z standard errors, or if it is one of a pair whose occurrence together
+(the covariance within a class) differs between the classes by PAIR_Z standard errors, however frequent each is by itself.
+All pairs of terms of PAIR_DOCS sampled documents are compared: a term of few documents reaches a z of about their root, so
+the bound is beyond rarer ones unless the sample itself has fewer than a hundred documents or so. A document is the set of its terms that stay, and its score is  b + sum w_i + sum_{i<j} <v_i, v_j>:  the factors learn pairs (an insult beside a mention of a group) that
 additive weights miss. Platt's calibration on a fifth of the sample gives the probability of toxic = 1.
 
 Cases: a null or empty text scores as one without terms. Repeated rows each get their own result. Without labels of both
@@ -24,6 +26,11 @@ from quillmark.llm.linear import Adam, class_weights, platt, sigmoid
 FACTORS = 8
 MIN_DOCS = 6
 MIN_Z = 4.0
+#: Millions of pairs are compared, so their bound is higher: about one pair in 500 million passes it by chance.
+PAIR_Z = 6.0
+PAIR_DOCS = 18
+#: Terms whose pairs are compared at once.
+BLOCK = 1024
 THRESHOLD = 0.3
 FILTER_BITS = 22
 
@@ -41,6 +48,41 @@ def terms(c: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(ds)
 
 
+def paired(row: np.ndarray, col: np.ndarray, k: int, y: np.ndarray) -> np.ndarray:
+    """Which of k terms belong to a pair that occurs together more, or less, in one class. row, col: documents and terms of
+    the cells, by col."""
+    classes = [np.flatnonzero(y == c) for c in (0, 1)]
+    order, sizes = np.concatenate(classes), [len(c) for c in classes]
+    place = np.empty(len(y), np.int64)
+    place[order] = np.arange(len(y))
+    at = np.searchsorted(col, np.arange(0, k + BLOCK, BLOCK))
+
+    def dense(b: int) -> list[np.ndarray]:
+        lo, hi = at[b], at[b + 1]
+        x = np.zeros((min(BLOCK, k - b * BLOCK), len(y)), np.float32)
+        x[col[lo:hi] - b * BLOCK, place[row[lo:hi]]] = 1
+        return [x[:, : sizes[0]], x[:, sizes[0] :]]
+
+    out = np.zeros(k, bool)
+    blocks = range(-(-k // BLOCK))
+    for i in blocks:
+        left = dense(i)
+        for j in blocks[i:]:
+            right = left if j == i else dense(j)
+            apart, variance = 0.0, np.float32(1e-12)
+            for sign, a, b, n in zip((-1, 1), left, right, sizes, strict=True):
+                pa, pb, both = a.mean(1)[:, None], b.mean(1)[None], a @ b.T / np.float32(n)
+                spread = both * ((1 - 2 * pa) * (1 - 2 * pb)) + pb**2 * (pa * (1 - 2 * pa)) + pa**2 * (pb * (1 - 2 * pb)) + pa**2 * pb**2
+                cov = both - pa * pb
+                apart, variance = apart + sign * cov, variance + np.maximum(spread - cov**2, pa * (1 - pa) * (pb * (1 - pb))) / n
+            hit = np.abs(apart) >= PAIR_Z * np.sqrt(variance)
+            if j == i:
+                np.fill_diagonal(hit, False)
+            out[i * BLOCK : i * BLOCK + len(hit)] |= hit.any(1)
+            out[j * BLOCK : j * BLOCK + hit.shape[1]] |= hit.any(0)
+    return out
+
+
 class FactorizationMachine:
     """keys: the sorted hashes of the screened terms; w and v: their weights and factors."""
 
@@ -83,7 +125,16 @@ class FactorizationMachine:
         a, c = np.bincount(inv, weights=toxic), np.bincount(inv, weights=1 - toxic)
         p = (a + c) / (n1 + n0)
         z = (a / n1 - c / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        keys = keys[(a + c >= MIN_DOCS) & (np.abs(z) >= MIN_Z)]
+        stay, often = (a + c >= MIN_DOCS) & (np.abs(z) >= MIN_Z), np.flatnonzero(a + c >= PAIR_DOCS)
+        if len(often):
+            number = np.full(len(keys), -1, np.int32)
+            number[often] = np.arange(len(often))
+            row = np.repeat(np.arange(int(seen.sum()), dtype=np.int32), [len(d) for d, s in zip(docs, seen, strict=True) if s])
+            col = number[inv]
+            row, col = row[col >= 0], col[col >= 0]
+            order = np.argsort(col, kind="stable")
+            stay[often] |= paired(row[order], col[order], len(often), y[seen])
+        keys = keys[stay]
         if len(keys) == 0:
             return cls(constant=counts.get(1, 0) / total)
         k = len(keys)

@@ -38,6 +38,46 @@ def test_factorization_machine_learns_a_pair():
     assert m.v[i] @ m.v[j] > 0.5
 
 
+def test_pair_of_terms_without_an_association_of_their_own():
+    """At the constants of production: both terms are in 30 % of the toxic and of the clean documents, together only in toxic ones."""
+
+    def draw(seed, n):
+        rng, docs = np.random.default_rng(seed), []
+        for k in range(n):
+            u = rng.random()
+            own = ([11, 22] if u < 0.3 else []) if k % 2 else [11] if u < 0.3 else [22] if u < 0.6 else []
+            docs.append(np.unique(np.array([*own, *rng.integers(100, 1500, 80)], vec.U)))
+        return docs, np.arange(n) % 2.0
+
+    m = toxicity.FactorizationMachine.fit_rows(*draw(0, 1200), {0: 1, 1: 1})
+    assert m.constant is None and {11, 22} <= set(m.keys.tolist())
+    docs, _ = draw(1, 600)
+    raw, _ = m._raw(*m._cells(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])), len(docs))
+    has = np.array([(11 in d, 22 in d) for d in docs])
+    assert raw[has.all(1)].min() > raw[has.any(1) & ~has.all(1)].max() + 2
+
+
+def test_pair_screen_equals_plain_statistics(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.4) * 1.0
+    x = rng.random((400, 30)) < rng.uniform(0.1, 0.6, 30)
+    x[:, 3] = np.where(y == 1, x[:, 20], x[:, 3])
+    x[:, 8] = np.where((y == 0) & (rng.random(400) < 0.8), ~x[:, 29], x[:, 8])
+    z = np.zeros((30, 30))
+    for i in range(30):
+        for j in range(30):
+            parts = []
+            for c in (0, 1):
+                a, b = x[y == c, i] * 1.0, x[y == c, j] * 1.0
+                e = (a - a.mean()) * (b - b.mean())
+                parts.append((e.mean(), max(e.var(), a.var() * b.var()) / len(a)))
+            z[i, j] = 0 if i == j else (parts[1][0] - parts[0][0]) / np.sqrt(parts[0][1] + parts[1][1])
+    col, row = np.nonzero(x.T)
+    want = (np.abs(z) >= toxicity.PAIR_Z).any(1)
+    assert want.sum() >= 4 and (toxicity.paired(row, col, 30, y) == want).all()
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = table(spark, SF, "documents").withColumn("score", F.lit("clash")), table(spark, SF, "labels")
     m = toxicity.FactorizationMachine.fit(docs, labels)
