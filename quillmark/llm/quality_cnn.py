@@ -6,8 +6,8 @@ document. Each chunk keeps every filter's largest response; the document keeps t
 chunks, and a logistic layer turns these into one probability.
 
 Filters are trained by back-propagation through the max-pooling on chunks of a bounded, class-balanced sample of labelled
-documents (at most PER_CLASS a class, CHUNKS_PER_DOC training chunks of each, evenly spread); the logistic layer is
-trained on the whole sampled documents and calibrated on a fifth of them. Scoring always reads whole documents.
+documents (at most PER_CLASS a class, CHUNKS_PER_DOC training chunks of each, drawn anew from the whole text in every
+epoch, every position alike); the logistic layer is trained on the whole sampled documents and calibrated on a fifth of them. Scoring always reads whole documents.
 
 Cases: a null or empty text is one chunk of padding. Repeated rows each get their own result. Without labels of both
 classes, the score is the one class's share (1 if there is none). Null labels and extra columns are ignored; empty tables
@@ -75,23 +75,22 @@ class ByteNetwork:
         if len(set(y.tolist())) < 2:
             return cls(constant=counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0)
         rng, size = np.random.default_rng(5), 2 * HALF
-        parts, label = [], []
+        source, label = [], []
         seen = np.arange(len(texts)) % 5 != 0
         weights = class_weights(y)
         for t, v, wt, s in zip(texts, y, weights, seen, strict=True):
             if not s:
                 continue
             k = min(CHUNKS_PER_DOC, max(1, len(t) // size))
-            for j in range(k):
-                at = (len(t) - size) * j // max(1, k - 1) if k > 1 else 0
-                parts.append(t[at : at + size].ljust(size + WIDTH - 1, b"\0"))
-                label.append((v, wt / k))
-        x = np.frombuffer(b"".join(p[: size + WIDTH - 1] for p in parts), np.uint8).reshape(len(parts), -1)
+            source += [t] * k
+            label += [(v, wt / k)] * k
         yy, ww = np.array(label).T
         ww = ww / ww.mean()
         table, bias = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.full(FILTERS, -0.2, np.float32)
         out, b, adam = rng.normal(0, 0.3, FILTERS), np.zeros(1), Adam(0.02)
         for _ in range(epochs):
+            starts = rng.integers(0, [max(1, len(t) - size + 1) for t in source]).tolist()
+            x = np.frombuffer(b"".join(t[a : a + size].ljust(size + WIDTH - 1, b"\0") for t, a in zip(source, starts, strict=True)), np.uint8).reshape(len(source), -1)
             for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 128)):
                 xb = x[at]
                 act = table[0][xb[:, :size]]

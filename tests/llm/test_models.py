@@ -95,6 +95,17 @@ def test_network_on_held_out_documents(spark):
     assert auc(h.score, h.quality) > 0.9
 
 
+def test_filters_learn_from_the_inside_of_texts():
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    y = np.arange(60) % 2.0
+    ends = [(letters(256), letters(256)) for _ in y]
+    one, two = ([a + letters(2000) + b for a, b in ends] for _ in range(2))
+    fit = lambda texts: quality_cnn.ByteNetwork.fit_texts(texts, y, {0: 30, 1: 30}, epochs=2)
+    assert np.array_equal(fit(one).table, fit(one).table)
+    assert not np.allclose(fit(one).table, fit(two).table)
+
+
 def test_network_pooling_equals_plain_loops():
     rng = np.random.default_rng(1)
     table_ = rng.normal(0, 1, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32)
