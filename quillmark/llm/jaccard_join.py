@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.llm import vec
 from quillmark.llm.common import cut, fresh
@@ -277,6 +278,11 @@ def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     class_id: the least id among the documents connected to it by links of similarity 0.8 or more (copies included);
     copy_of: the least id with the very same shingle set; n_links: the number of other documents of similarity 0.8 or more.
     """
+    return _joined(documents, recall).drop("d1", "d2")
+
+
+def _joined(documents: DataFrame, recall: float) -> DataFrame:
+    """The join's rows with their sets' digests."""
     table = cut(digest_table(documents), "digests")
     able = table.where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
     classes = cut(able.groupBy(F.col("d1").alias("v"), "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.first("sketch").alias("sketch")), "classes")
@@ -294,15 +300,35 @@ def join(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     known = known.select(F.col("v").alias("d1"), "d2", "size", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     mine = table.select("doc_id", "d1", "d2", "size")
     hit = mine.where(F.col("doc_id").isNotNull() & (F.col("size") > 0)).join(known, ["d1", "d2", "size"])
-    alone = mine.where(F.col("doc_id").isNull() | (F.col("size") == 0)).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return hit.select("doc_id", "class_id", "copy_of", "n_links").unionByName(alone)
+    alone = mine.where(F.col("doc_id").isNull() | (F.col("size") == 0)).select("doc_id", "d1", "d2", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    return hit.select("doc_id", "d1", "d2", "class_id", "copy_of", "n_links").unionByName(alone)
 
 
 def one_of_each(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     """The documents that are the least of their class, and those joined with nothing, with all their columns.
 
-    Rows that repeat a kept id all stay.
+    Rows that repeat a kept id with an equal set all stay. Of an id with several sets each is kept or dropped by its own class.
     """
-    mark = fresh(documents, "__out")
-    out = join(documents, recall).where("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
-    return documents.join(out.hint("shuffle_hash"), documents["doc_id"] == out[mark], "left_anti")
+    mark, d1, d2 = fresh(documents, "__out"), fresh(documents, "__d1"), fresh(documents, "__d2")
+    rows = _joined(documents, recall).where("class_id is not null").withColumn("gone", F.col("class_id") != F.col("doc_id"))
+    ids = cut(rows.groupBy(F.col("doc_id").alias(mark)).agg(F.every("gone").alias("whole"), F.some("gone").alias("some")).where("some").select(mark, "whole"), "gone")
+    whole, partly = ids.where("whole").select(mark), ids.where("not whole").select(mark)
+    kept = documents.join(whole.hint("shuffle_hash"), documents["doc_id"] == whole[mark], "left_anti")
+    if partly.isEmpty():
+        return kept
+
+    at = documents.columns.index("text")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ch in vec.chunks(b.column(at)):
+                part = b.slice(ch.lo, ch.hi - ch.lo)
+                found = digests(*shingles(ch.c, ch.offs))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(d) for d in found)], names=[*part.schema.names, d1, d2])
+
+    several = documents.join(partly.hint("shuffle_hash"), documents["doc_id"] == partly[mark], "left_semi")
+    schema = T.StructType([*documents.schema.fields, T.StructField(d1, T.LongType()), T.StructField(d2, T.LongType())])
+    several = several.mapInArrow(digest, schema)
+    gone = rows.where("gone").select(F.col("doc_id").alias(mark), F.col("d1").alias("e1"), F.col("d2").alias("e2")).distinct()
+    stay = several.join(gone, (several["doc_id"] == gone[mark]) & (several[d1] == gone["e1"]) & (several[d2] == gone["e2"]), "left_anti")
+    return kept.join(partly.hint("shuffle_hash"), kept["doc_id"] == partly[mark], "left_anti").unionByName(stay.drop(d1, d2))

@@ -85,6 +85,16 @@ def test_odd_rows(spark, docs_of, odd):
     assert J.join(docs_of([])).count() == 0 and J.one_of_each(docs_of([])).count() == 0
 
 
+def test_an_id_with_two_texts_loses_only_the_copy(spark, docs_of, words):
+    base, own, late = words(60, 1), words(60, 2), words(60, 3)
+    near = [*base[:-1], "other"]
+    texts = [" ".join(t) for t in (base, near, own, late, [*own[:-1], "changed"])]
+    docs = docs_of([*texts, " "], [1, 2, 2, 3, 4, 2])
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, texts[0]), (2, texts[2]), (3, texts[3]), (2, " ")])
+
+
 def test_runs_reach_the_recall():
     assert 0.3 < J.run_recall() < 0.6 and (1 - J.run_recall()) ** J.runs() <= 1 - J.RECALL
 
