@@ -1,45 +1,32 @@
 """Connected components of an edge table, by alternating large-star and small-star steps on DataFrames.
 
-Every step is an aggregation with a map-side combine and an equi-join, and each round's edges are written to the shared
-folder. Rounds grow with the logarithm of a component's diameter; nothing is collected but the counts that end the loop.
+Every step is an aggregation with a map-side combine and an equi-join of written tables, which may be split where a vertex is
+hot, and each step's edges are written to the shared folder. Rounds grow with the logarithm of a component's diameter; nothing is
+collected but the counts that end the loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut
 
-#: Groups that meet their rows by broadcast.
-HOT = 1000
 
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: Column, how: str = "inner") -> DataFrame:
-    """rows with the columns of their groups (one row a key). The HOT groups of the greatest weight (their number of rows)
-    are broadcast, so no key that is left to the shuffle holds more than 1 / HOT of the rows. groups is read three times, so
-    it should be a written table; how is inner or left."""
-    hot = groups.orderBy(weight.desc(), key).limit(HOT)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root): each vertex of edges (a, b) and the least vertex of its component."""
-    now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
-    for _ in range(max_rounds):
+    now, before = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges"), None
+    while True:
+        # done when a round changes nothing, or there is nothing
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        if state == before or not state[0]:
+            return now.select("v", F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
+        before = state
         # large star: v's larger neighbours get its least neighbour
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = cut(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count("*").alias("n")), "least")
-        large = cut(join_groups(both.where("u > v"), least, "v", F.col("n")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct(), "large")
+        least = cut(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "least")
+        large = cut(both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct(), "large")
         # small star: v and its smaller neighbours get the least of them
-        low = cut(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low")
-        small = join_groups(large, low, "v", F.col("n")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m")), "low")
+        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
         now = cut(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct(), "edges")
-        # done when each vertex has one edge and no root has one: the edges are stars
-        n, vertices = now.agg(F.count("*"), F.count_distinct("v")).first()
-        if n == vertices and now.select(F.col("u").alias("v")).distinct().join(now, "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select("v", F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())

@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark.llm import jaccard_join as J
 from quillmark.llm.common import table
@@ -50,7 +52,9 @@ def test_links_and_classes_equal_brute_force(spark, docs_of, copies):
 
 
 def test_large_block_is_cut_and_loses_nothing(spark, docs_of, words, monkeypatch):
-    monkeypatch.setattr(J, "PART", 16)
+    """Also where every bucket counts as large: it is split, led and at last compared in parts."""
+    for name, value in (("PART", 16), ("LIMIT", 5), ("PART_SKETCHES", 7), ("CORE", 2)):
+        monkeypatch.setattr(J, name, value)
     base = words(400, 3)
     texts = []
     for k in range(90):
@@ -81,7 +85,8 @@ def test_odd_rows(spark, docs_of, odd):
     assert all((k, k, n) in got for k, n in by.items())  # texts without words
     assert (55, 5, 2) in got and (5, 5, 2) in got
     kept = J.one_of_each(docs)
-    assert kept.where("doc_id = 55").count() == 0 and kept.where("doc_id = 5").count() == 2 and kept.where("doc_id is null").count() == 1
+    # of the two rows of id 5, whose sets are equal, one stays
+    assert kept.where("doc_id = 55").count() == 0 and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id is null").count() == 1
     assert J.join(docs_of([])).count() == 0 and J.one_of_each(docs_of([])).count() == 0
 
 
@@ -96,7 +101,41 @@ def test_an_id_with_two_texts_loses_only_the_copy(spark, docs_of, words):
 
 
 def test_runs_reach_the_recall():
-    assert 0.3 < J.run_recall() < 0.6 and (1 - J.run_recall()) ** J.runs() <= 1 - J.RECALL
+    """The chance of a common path, told by the recursion, is met by pairs whose tokens agree at 8 of 10 coordinates."""
+    assert (1 - J.survival(J.SURE)) ** J.runs() <= 1 - J.RECALL
+    rng, found = np.random.default_rng(2), []
+    for run in range(400):
+        a = rng.integers(0, 1 << 32, J.COORDINATES).astype(np.uint32)
+        b = np.where(rng.random(J.COORDINATES) < 0.8, a, a + 1)
+        row, path = J.choose_paths(np.stack([a, b]), run)
+        found.append(bool(np.intersect1d(path[row == 0], path[row == 1]).size))
+    assert abs(np.mean(found) - J.survival(J.START)) < 0.08
+
+
+def test_a_shared_template_makes_no_large_block(spark, docs_of, words):
+    """Texts that share 60 of 160 words are no candidates of one another, however many there are."""
+    head, texts = words(60, 5), []
+    for k in range(1200):
+        texts.append(" ".join([*head, *(f"w{k}x{j}" for j in range(100))]))
+    texts += [f"{t} more{k}" for k, t in enumerate(texts[:100])]
+    docs = docs_of(texts)
+    table = J.digest_table(docs)
+    edges = J.candidate_edges(table.select(F.col("d1").alias("v"), "sketch", "mini").dropDuplicates(["v"]), J.runs())
+    sizes = [r[0] for r in components(edges).groupBy("root").count().select("count").collect()]
+    assert len(sizes) >= 95 and max(sizes) <= 12
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(docs).collect()}
+    assert sum(got[1200 + k] == (k, 1) and got[k] == (k, 1) for k in range(100)) >= 99 and all(got[k] == (k, 0) for k in range(100, 1200))
+
+
+def test_groups_that_cross_batches():
+    import pyarrow as pa
+
+    key = [1, 1, 1, 2, 3, 3, 4, 4, 4, 4, 5]
+    rows = pa.table({"k": pa.array(key, pa.int64()), "x": list(range(11))})
+    for size in (1, 2, 3, 5, 11):
+        got = []
+        list(J.by_group(["k"], lambda b: got.append(b.column("x").to_pylist()))(iter(rows.to_batches(max_chunksize=size))))
+        assert got == [[0, 1, 2], [4, 5], [6, 7, 8, 9]]
 
 
 def test_components(spark):
