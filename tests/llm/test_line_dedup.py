@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillmark.llm.line_dedup import apply
+from quillmark.llm.common import cut
+from quillmark.llm.line_dedup import apply, covered
 
 
 def brute(rows):
@@ -40,6 +41,41 @@ def test_odd_rows(spark, docs_of, odd):
     assert apply(docs_of([])).count() == 0
 
 
+def test_clashing_columns_stay(spark, docs_of):
+    docs = docs_of(["p\nq\nr\ns", "p\nq\nr\nt"]).withColumns({"removed": F.lit("mine"), "Kept_Text": F.lit("also"), "_removed": F.lit(1)})
+    out = apply(docs)
+    assert out.columns == [*docs.columns, "_kept_text", "__removed"]
+    got = {r.doc_id: (r.removed, r.Kept_Text, r._kept_text, r["__removed"]) for r in out.collect()}
+    assert got == {0: ("mine", "also", "p\nq\nr\ns", 0), 1: ("mine", "also", "t", 3)}
+
+
+def test_long_texts_equal_brute_force(spark, docs_of):
+    """Words of bits between which others are empty, and two texts of many lines."""
+    rng, far = random.Random(3), [f"own {k}" for k in range(400)]
+    far[70:75] = far[5:10]
+    far[330:340] = far[200:210]
+    texts = ["\n".join(far), "\n".join(rng.choice("abcdefgh") for _ in range(3000)), "\n".join(f"line {k}" for k in range(30_000))]
+    texts.append(texts[2] + "\nmore")
+    got = {r.doc_id: (r.kept_text, r.removed) for r in apply(docs_of(texts)).collect()}
+    assert [got[i] for i in range(4)] == brute(list(enumerate(texts)))
+
+
+def test_a_hot_window_is_split(spark, docs_of):
+    """The join back to the occurrences reads a shuffle on both sides, so that AQE can split a window's partition."""
+    hot = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        docs = cut(docs_of([f"a {k}\nx\ny\nz\nb {k}" for k in range(20_000)]).repartition(12))
+        lost = covered(docs)
+        lost.collect()
+        assert "skew=true" in lost._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_no_python_in_the_plan(spark, docs_of):
     plan = apply(docs_of(["a\nb\nc"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
