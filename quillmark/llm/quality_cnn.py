@@ -6,8 +6,10 @@ document. Each chunk keeps every filter's largest response; the document keeps t
 chunks, and a logistic layer turns these into one probability.
 
 Filters are trained by back-propagation through the max-pooling on chunks of a bounded, class-balanced sample of labelled
-documents (at most PER_CLASS a class, CHUNKS_PER_DOC training chunks of each, drawn anew from the whole text in every
-epoch, every position alike); the logistic layer is trained on the whole sampled documents and calibrated on a fifth of them. Scoring always reads whole documents.
+documents (at most PER_CLASS a class). The chunks of each whole text are dealt over the epochs in random order, so all of it is
+seen; a text of few chunks is seen several times, cut at other places after the first. A document counts the same whatever its
+length. The logistic layer is trained on the whole sampled documents and calibrated on a fifth of them. Scoring
+always reads whole documents.
 
 Cases: a null or empty text is one chunk of padding. Repeated rows each get their own result. Without labels of both
 classes, the score is the one class's share (1 if there is none). Null labels and extra columns are ignored; empty tables
@@ -27,7 +29,8 @@ from quillmark.llm.linear import Adam, class_weights, platt, sigmoid
 FILTERS = 16
 WIDTH = 8
 HALF = 128
-CHUNKS_PER_DOC = 2
+#: Chunks that a text gives to an epoch at least, if it has them.
+CHUNKS = 2
 THRESHOLD = 0.5
 #: Bytes that are scored at once.
 BLOCK = 200_000
@@ -75,22 +78,28 @@ class ByteNetwork:
         if len(set(y.tolist())) < 2:
             return cls(constant=counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0)
         rng, size = np.random.default_rng(5), 2 * HALF
-        source, label = [], []
         seen = np.arange(len(texts)) % 5 != 0
         weights = class_weights(y)
-        for t, v, wt, s in zip(texts, y, weights, seen, strict=True):
-            if not s:
-                continue
-            k = min(CHUNKS_PER_DOC, max(1, len(t) // size))
-            source += [t] * k
-            label += [(v, wt / k)] * k
-        yy, ww = np.array(label).T
+        drawn = [i for i in range(len(texts)) if seen[i]]
+        chunks = np.array([max(1, -(-len(texts[i]) // size)) for i in drawn])
+        each = np.maximum(np.minimum(CHUNKS, chunks), -(-chunks // epochs))  # of a document in an epoch
+        doc = np.repeat(np.arange(len(drawn)), each)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+        orders = [rng.permutation(c) for c in chunks]
+        yy, ww = y[drawn][doc], (weights[drawn] / each)[doc]
         ww = ww / ww.mean()
         table, bias = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.full(FILTERS, -0.2, np.float32)
         out, b, adam = rng.normal(0, 0.3, FILTERS), np.zeros(1), Adam(0.02)
-        for _ in range(epochs):
-            starts = rng.integers(0, [max(1, len(t) - size + 1) for t in source]).tolist()
-            x = np.frombuffer(b"".join(t[a : a + size].ljust(size + WIDTH - 1, b"\0") for t, a in zip(source, starts, strict=True)), np.uint8).reshape(len(source), -1)
+        for epoch in range(epochs):
+            turn = epoch * each[doc] + nth
+            start = np.array([orders[d][k % chunks[d]] for d, k in zip(doc.tolist(), turn.tolist(), strict=True)]) * size
+            start += np.where(turn >= chunks[doc], rng.integers(-HALF, HALF, len(doc)), 0)
+            x = bytearray()
+            for d, a in zip(doc.tolist(), start.tolist(), strict=True):
+                t = texts[drawn[d]]
+                a = max(0, min(a, len(t) - size))
+                x += t[a : a + size].ljust(size + WIDTH - 1, b"\0")
+            x = np.frombuffer(bytes(x), np.uint8).reshape(len(doc), -1)
             for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 128)):
                 xb = x[at]
                 act = table[0][xb[:, :size]]
