@@ -11,7 +11,7 @@ with the probability of the rest, so the expected tokens * copies of each margin
 (see `form`); any column or expression can take its place.
 
 Cells are few (sources x languages x topics). Up to MAX_CELLS are raked on the driver and broadcast, a checked bound; beyond
-it the same steps run as DataFrames with written intermediate tables.
+it the same steps run as DataFrames with written intermediate tables, and give the same weights and probabilities.
 
 Cases: null sources, languages or topics are cells of their own. Null and empty texts have no tokens and topic brief; a cell
 without tokens gets weight 1. A null id is hashed as the text `null`. Repeated rows are kept or dropped together. Extra
@@ -108,15 +108,15 @@ def _frames(cells: DataFrame, temper: dict, sweeps: int, fraction: float) -> Dat
             factor = now.join(targets[m].withColumnRenamed("name", "of"), F.col("name").eqNullSafe(F.col("of"))).select("name", F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0).alias("factor"))
             cells = cells.join(factor, F.col(m).eqNullSafe(F.col("name"))).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
         cells = cut(cells)
-    top = cells.agg(F.max("weight")).first()[0] or 1.0
-    low, high = 0.0, 1.0
-    mass = lambda r: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * r))).first()[0] or 0.0
-    while total and mass(high / top) < fraction * total and high < 2**60:
-        high *= 2
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if total and mass(mid / top) < fraction * total else (low, mid)
-    return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * (high / top)))
+    # the rate: cells of r * w > 1 are kept whole and r is solved for the others, until no other cell passes 1
+    r, whole = 0.0, -1
+    while total:
+        over = F.col("weight") * r > 1
+        n, kept, rest = cells.agg(F.sum(over.cast("long")), F.sum(F.when(over, F.col("tokens")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("tokens") * F.col("weight")))).first()
+        if n == whole or not rest:
+            break
+        r, whole = (fraction * total - kept) / rest, n
+    return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * F.lit(float(r if total and r else 1.0))))
 
 
 def mix(documents: DataFrame, topic: Column | None = None, **settings) -> DataFrame:

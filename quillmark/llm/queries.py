@@ -98,7 +98,7 @@ def mixing_sql(sweeps: int = mixing.SWEEPS, fraction: float = mixing.FRACTION) -
     for _ in range(sweeps):
         for m in mixing.MARGINS:
             ctes.append(f"n{k} AS MATERIALIZED (SELECT {m}, sum(t * w) AS now FROM w{k} GROUP BY {m})")
-            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.t, a.w * b.target / c.now AS w FROM w{k} a JOIN t_{m} b ON a.{m} = b.{m} JOIN n{k} c ON a.{m} = c.{m})")
+            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.t, a.w * b.target / c.now AS w FROM w{k} a JOIN t_{m} b ON a.{m} IS NOT DISTINCT FROM b.{m} JOIN n{k} c ON a.{m} IS NOT DISTINCT FROM c.{m})")
             k += 1
     ctes += [
         f"o AS MATERIALIZED (SELECT *, coalesce(sum(t) OVER (ORDER BY w DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole, sum(t * w) OVER (ORDER BY w DESC, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY w DESC, t) AS k FROM w{k})",
@@ -109,7 +109,7 @@ def mixing_sql(sweeps: int = mixing.SWEEPS, fraction: float = mixing.FRACTION) -
     return (
         "WITH " + ",\n".join(ctes) + "\nSELECT d.doc_id, d.tokens, d.topic, round(c.w, 6) AS weight, round(c.p, 6) AS p,"
         " ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < c.p AS kept"
-        " FROM d JOIN c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic"
+        " FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic"
     )
 
 

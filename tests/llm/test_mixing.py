@@ -54,9 +54,10 @@ def test_rate_keeps_heavy_cells_whole():
 
 def test_many_cells_go_the_distributed_way(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    a = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    b = {r.doc_id: r for r in mixing.mix(docs, max_cells=3).collect()}
-    assert len(a) == len(b) and all(abs(a[k].weight - b[k].weight) < 1e-6 and abs(a[k].p - b[k].p) < 1e-6 for k in a)
+    for fraction in (0.1, 0.5, 0.95, 1.0):
+        a = {r.doc_id: r for r in mixing.mix(docs, fraction=fraction).collect()}
+        b = {r.doc_id: r for r in mixing.mix(docs, fraction=fraction, max_cells=3).collect()}
+        assert len(a) == len(b) and all(abs(a[k].weight - b[k].weight) < 1e-9 * a[k].weight and abs(a[k].p - b[k].p) < 1e-9 and a[k].kept == b[k].kept for k in a)
 
 
 def test_odd_rows(spark, docs_of, odd):
