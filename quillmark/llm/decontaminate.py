@@ -7,7 +7,8 @@ bit-parallel algorithm looks for an occurrence within the budget. Items of fewer
 must stand between word bounds.
 
 The items are the query set: at most BLOCK_CHARS of them are shipped to the tasks at once, and more are searched in blocks,
-one pass over the documents each.
+one pass over the documents each. The driver holds one block at a time: the result of each is written before the next one is
+read.
 
 Cases: null, empty or blank items and texts match nothing. Items with equal texts each give their own rows; an item id with
 several texts is matched by any of them. Repeated documents each get their own rows. A null doc_id or item_id is passed through.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_filter
+from quillmark.llm.common import arrow_filter, cut
 
 EDIT_PERCENT = 6
 SHORT = 24
@@ -125,25 +126,30 @@ class Matcher:
         return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _matcher(items: tuple[Item, ...]) -> Matcher:
     return Matcher(items)
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[Item, ...]]:
-    """The items in blocks of about block_chars characters, by a hash of the text."""
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[tuple[Item, ...]]]:
+    """The number of blocks, and the items in blocks of about block_chars characters, by a hash of the text, one at a time."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield tuple(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+
+    def each() -> Iterator[tuple[Item, ...]]:
+        for i in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
+            yield tuple(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+
+    return n, each()
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end): one row for each document and each item that occurs in it."""
+    n, found = item_blocks(benchmark, block_chars)
     parts = []
-    for items in item_blocks(benchmark, block_chars):
+    for items in found:
 
         def each(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             m = _matcher(items)
@@ -152,17 +158,20 @@ def matches(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
 
-        parts.append(documents.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, distance int, end long"))
+        part = documents.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, distance int, end long")
+        parts.append(part if n == 1 else cut(part, "matches"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item occurs, with all their columns."""
-    for items in item_blocks(benchmark, block_chars):
+    n, found = item_blocks(benchmark, block_chars)
+    for items in found:
 
         def keep(texts: pa.Array, items=items) -> pa.Array:
             m = _matcher(items)
             return pa.array([not m.search(t, True) for t in texts.to_pylist()], pa.bool_())
 
-        documents = arrow_filter(documents, "text", keep)
+        left = arrow_filter(documents, "text", keep)
+        documents = left if n == 1 else cut(left, "clean")
     return documents

@@ -75,6 +75,22 @@ def test_items_that_repeat_phrases_equal_brute_force(words):
         assert {(i, d) for i, d, _ in m.search(t)} == want
 
 
+def test_refrains_equal_brute_force_at_every_edit_count():
+    """Long items whose phrases come again and again, with every number of edits within the budget and one more."""
+    rng = random.Random(9)
+    vocabulary = "the cat sat down and then up it went over old hill".split()
+    for refrain in ("the cat sat down ", "and then up it went over the old hill ", "ab"):
+        item = normal("".join(refrain + (" ".join(rng.choice(vocabulary) for _ in range(2)) + " ") * (k % 2) for k in range(260 // len(refrain))))
+        m = Matcher(((0, item),))
+        for edits in range(Matcher.budget(item) + 2):
+            t = list(item)
+            for at in rng.sample(range(len(t)), edits):
+                t[at] = rng.choice(["", "q", t[at] + "q"])
+            text = normal(f"{refrain} before {''.join(t)} {refrain * 2} after")
+            d = within(item, text)
+            assert [x[1] for x in m.search(text)] == ([d] if d <= Matcher.budget(item) else []), (refrain, edits)
+
+
 @pytest.mark.parametrize("block", [16_000_000, 60])
 def test_blocks_give_the_same_rows(spark, docs_of, words, odd, block):
     items = [(k, " ".join(words(12, k))) for k in range(6)] + [(7, None), (8, " "), (9, " ".join(words(12, 0))), (None, " ".join(words(12, 1)))]
