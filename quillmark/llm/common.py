@@ -29,9 +29,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where none is set, as in tests, a local one is made."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set it is made below the warehouse, which a cluster
+    shares too, or, in local mode alone, as in tests, in a temporary folder."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        at = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        at = f"file://{tempfile.mkdtemp(prefix='quillmark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -62,19 +64,19 @@ def fold(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
 
 
-def stratified(rows: DataFrame, id_col: str, class_col: str, per_class: int, max_classes: int = 1000) -> tuple[DataFrame, dict]:
+def stratified(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> tuple[DataFrame, dict]:
     """A sample with about per_class rows of each class at most, by a hash of the id, and the rows that each class has in all.
 
-    The sample depends on ids alone, not on partitions. Null classes give none. More than max_classes classes are refused.
+    The sample depends on ids alone, not on partitions. Null classes give none. The classes are those that a model holds weights
+    for, so their counts fit the driver and a broadcast; there may be any number of them.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {class_col}")
+    counts = {r[0]: r[1] for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()}
+    most = fresh(rows, "__most")
+    limits = [(k, int(min(1.0, per_class / n) * (1 << 40))) for k, n in sorted(counts.items(), key=str)]
+    kind = dict(rows.dtypes)[class_col]
+    of = rows.sparkSession.createDataFrame(limits, f"{fresh(rows, '__class')} {kind}, {most} long")
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 40))
-    keep = F.lit(False)
-    for k, n in sorted(counts.items(), key=str):
-        keep = keep | ((F.col(class_col) == F.lit(k)) & (u < int(min(1.0, per_class / n) * (1 << 40))))
-    return rows.where(keep), counts
+    return rows.join(F.broadcast(of), rows[class_col] == of[of.columns[0]]).where(u < F.col(most)).select(*rows.columns), counts
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: Column | None, per_class: int = PER_CLASS) -> tuple[DataFrame, dict]:
