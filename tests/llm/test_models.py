@@ -152,6 +152,99 @@ def test_odd_texts_and_tables_without_labels(spark, docs_of, odd):
     assert {r.lang_pred for r in language_id.OutputCodes.fit(docs_of([])).transform(docs).collect()} == {"und"}
 
 
+def plain_sigmoid(z):
+    import math
+
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def test_machine_scores_equal_plain_loops(spark, odd):
+    """b + sum of weights + sum over all pairs of the factors' products, for each text by itself."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    m = toxicity.FactorizationMachine.fit(docs, labels)
+    texts = [*odd, *(r.text for r in docs.orderBy("doc_id").limit(60).collect())]
+    got, known = m.score(pa.array(texts)), {int(k): i for i, k in enumerate(m.keys)}
+    for t, score in zip(texts, got, strict=True):
+        found = set()
+        for ch in vec.chunks(pa.array([t], pa.string())):
+            found = {known[int(h)] for h in toxicity.terms(ch.c, ch.offs)[0] if int(h) in known}
+        z = m.b + sum(m.w[i] for i in found) + sum(float(m.v[i] @ m.v[j]) for i in found for j in found if i < j)
+        assert abs(score - plain_sigmoid(m.slope * max(-12.0, min(12.0, z)) + m.shift)) < 1e-6
+
+
+def test_language_scores_equal_plain_loops(spark):
+    import math
+
+    docs = table(spark, SF, "documents")
+    m = language_id.OutputCodes.fit(docs)
+    texts = [t for r in docs.orderBy("doc_id").limit(60).collect() if (t := (r.text or "")[:3000])]
+    names, scores, _ = m.score(pa.array(texts))
+    lower = vec.tables()[0]
+    for t, name, score in zip(texts, names, scores, strict=True):
+        z = [float(b) for b in m.b]
+        c = [int(lower[ord(x)]) for x in t]
+        for n in (1, 2, 3):
+            count = max(0, len(c) - n + 1)
+            for p in range(count):
+                x = 0x2545F491 * n & 0xFFFFFFFF
+                for k in range(n):
+                    x = (x ^ c[p + k]) * 0x9E3779B1 & 0xFFFFFFFF
+                    x ^= x >> 15
+                column = (x * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - language_id.BITS)
+                z = [a + language_id.SCALE * float(w) / count for a, w in zip(z, m.w[column], strict=True)]
+        loss = [sum(math.log1p(math.exp(-a * int(bit))) * float(q) for a, bit, q in zip(z, word, m.trust, strict=True)) for word in m.code]
+        assert any(ch.isalpha() for ch in t) is (name != "und")
+        if name != "und":
+            assert name == m.languages[loss.index(min(loss))] and abs(score - 1 / sum(math.exp(min(loss) - x) for x in loss)) < 1e-4
+
+
+def test_network_scores_equal_plain_loops(spark):
+    """Filters at every byte, half-chunks, pooling and the logistic layer, one position at a time."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    m = quality_cnn.ByteNetwork.fit(docs, labels)
+    texts = [r.text for r in docs.where("length(text) < 900").orderBy("doc_id").limit(12).collect()]
+    for t, score in zip(texts, m.score(pa.array(texts)), strict=True):
+        raw = t.encode()
+        data, h = raw + b"\0" * 2 * quality_cnn.WIDTH, quality_cnn.HALF
+        act = [[max(0.0, sum(float(m.table[k][data[p + k]][f]) for k in range(quality_cnn.WIDTH)) + float(m.bias[f])) for f in range(quality_cnn.FILTERS)] for p in range(max(1, len(raw)))]
+        halves = max(1, -(-len(raw) // h))
+        tops = [[max(col) for col in zip(*act[k * h : (k + 2) * h], strict=True)] for k in range(max(1, halves - 1))]
+        feats = [f(col) for f in (lambda x: sum(x) / len(x), max, min) for col in zip(*tops, strict=True)]
+        z = m.b + sum((x - float(a)) / float(s) * float(w) for x, a, s, w in zip(feats, m.mean, m.scale, m.w, strict=True))
+        assert abs(score - plain_sigmoid(m.slope * z + m.shift)) < 1e-3
+
+
+def test_training_chunks_cover_whole_texts(monkeypatch):
+    """Every byte of every text that trains the filters is in some epoch's chunks."""
+    seen: dict[int, set] = {}
+    original = quality_cnn.np.frombuffer
+
+    def spy(buffer, kind=float, *rest, **more):
+        out = original(buffer, kind, *rest, **more)
+        if kind is np.uint8:
+            seen.setdefault(0, set()).update(x.tobytes() for x in out.reshape(-1, 2 * quality_cnn.HALF + quality_cnn.WIDTH - 1)) if len(out) % (2 * quality_cnn.HALF + quality_cnn.WIDTH - 1) == 0 else None
+        return out
+
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 5, 256, 700, 5000, 20_000) for _ in range(4)]
+    monkeypatch.setattr(quality_cnn.np, "frombuffer", spy)
+    quality_cnn.ByteNetwork.fit_texts(texts, np.arange(24) % 2.0, {0: 1, 1: 1}, epochs=5)
+    monkeypatch.undo()
+    size = 2 * quality_cnn.HALF
+    for k, t in enumerate(texts):
+        if k % 5:
+            assert all(t[a : a + size].ljust(size + quality_cnn.WIDTH - 1, b"\0") in seen[0] for a in [*range(0, len(t) - size, size), max(0, len(t) - size)])
+
+
+def test_any_number_of_languages(spark, docs_of):
+    """More languages than any fixed bound: none is refused."""
+    from quillmark.llm.common import stratified
+
+    rows = spark.range(6000).selectExpr("id as doc_id", "concat('l', id % 1500) as lang")
+    sample, counts = stratified(rows, "doc_id", "lang", 2)
+    assert len(counts) == 1500 and set(counts.values()) == {4} and 2000 < sample.count() < 4000 and sample.columns == rows.columns
+
+
 def test_odd_texts_score_alike_in_any_batch(odd):
     rng = np.random.default_rng(3)
     m = quality_cnn.ByteNetwork(rng.normal(0, 1, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), np.zeros(quality_cnn.FILTERS, np.float32), 0.0, 1.0, rng.normal(0, 0.01, 3 * quality_cnn.FILTERS))

@@ -70,3 +70,24 @@ def test_one_class_gives_no_verdict(spark, docs_of, words):
 def test_only_ascii_white_space_splits(text):
     assert int(QualityRules().score(pa.array([text]))["n_words"][0]) == brute(text)[0]
     assert np.isfinite(QualityRules().score(pa.array([text]))["probability"][0])
+
+
+def test_verdicts_equal_plain_loops(spark, small, odd):
+    """kept: no base rule fails, and the sum over the document's own hashed n-grams passes the threshold."""
+    import math
+
+    from quillmark.llm import vec
+    from quillmark.llm.quality_rules import REJECT_BELOW, _sparse
+
+    docs = table(spark, small, "documents")
+    model = QualityRules.fit(docs, table(spark, small, "labels"))
+    texts = [*odd, *(r.text for r in docs.collect())]
+    got = model.score(pa.array(texts))
+    for i, t in enumerate(texts):
+        n, _, _, _, again = brute(t)
+        (ch,) = vec.chunks(pa.array([t], pa.string()))
+        ((col, val),) = _sparse(ch.c, ch.offs)
+        p = 1 / (1 + math.exp(-(model.slope * (model.b + sum(float(model.w[c]) * float(v) for c, v in zip(col, val, strict=True))) + model.shift)))
+        assert abs(got["probability"][i] - p) < 1e-4
+        if abs(p - REJECT_BELOW) > 1e-4:
+            assert bool(got["kept"][i]) == (n >= 10 and 100 * again <= 20 * n and p >= REJECT_BELOW)
