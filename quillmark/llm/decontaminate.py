@@ -29,7 +29,8 @@ from quillmark.llm.common import arrow_filter, cut
 
 EDIT_PERCENT = 6
 SHORT = 24
-BLOCK_CHARS = 16_000_000
+#: Characters of items that a task holds at once; its automaton takes about 60 bytes for each, so 240 MB.
+BLOCK_CHARS = 4_000_000
 
 Item = tuple[int | None, str]
 

@@ -91,7 +91,7 @@ def test_refrains_equal_brute_force_at_every_edit_count():
             assert [x[1] for x in m.search(text)] == ([d] if d <= Matcher.budget(item) else []), (refrain, edits)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 60])
+@pytest.mark.parametrize("block", [4_000_000, 60])
 def test_blocks_give_the_same_rows(spark, docs_of, words, odd, block):
     items = [(k, " ".join(words(12, k))) for k in range(6)] + [(7, None), (8, " "), (9, " ".join(words(12, 0))), (None, " ".join(words(12, 1)))]
     bench = spark.createDataFrame(items, ITEMS).withColumn("doc_id", F.lit("clash"))
