@@ -11,9 +11,10 @@ probability RECALL after SURE splits (`survival`, `runs`).
 
 Buckets are compared by their sketches, one byte of each token: classes that differ in LINK coordinates or fewer are candidates
 (a pair of similarity 0.8 differs in more with a chance of 0.0005). Before a large bucket is split, its least class
-is its leader. Classes within CORE coordinates of the leader leave the bucket, which loses no pair: by the triangle inequality
-all candidates of such a class are within CORE + LINK coordinates of the leader, and these are linked to it. So a dense group
-of near copies, however large, takes one comparison each instead of a split.
+is its leader, and classes within CORE + LINK coordinates of the leader are linked to it, which is their home. Two prunings
+lose no pair. Classes within CORE of the leader leave the bucket: by the triangle inequality all their candidates are
+within CORE + LINK, so linked to the same leader. And a bucket whose classes have one home is done, for links connect them all. So a
+dense group of near copies, however large, takes one comparison each instead of splits.
 
 Connected candidates are a block. Blocks are compared exactly, over the shingles themselves: a block of more than PART classes
 or KEYS shingles is cut into parts, and each pair of parts is a task's group of its own, so a group holds about twice that at
@@ -51,7 +52,7 @@ LIMIT, PART_SKETCHES = 256, 1024
 #: Coordinates in which candidates may differ, and classes that leave a bucket with its leader.
 LINK, CORE = 24, 6
 #: Classes and shingles of a part of a block.
-PART, KEYS = 1024, 1 << 20
+PART, KEYS = 256, 1 << 20
 SLAB = 4096
 
 _MULTIPLIERS = vec.mix(np.arange(1, COORDINATES + 1)) | vec.U(1)
@@ -170,7 +171,7 @@ def bucket_table(classes: DataFrame, n_runs: int) -> DataFrame:
 
 
 def split_again(rows: DataFrame, large: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, v, lead): the children of large buckets' rows (lead null), and links to leaders (path null)."""
+    """(path, v, home): the children of large buckets' rows, and, with a null path, links of classes to their leaders."""
     led = rows.join(large.select("path", F.col("lo").alias("lead")), "path")
     led = led.join(classes.select("v", "sketch", F.col("mini").alias("mine")), "v").join(classes.select(F.col("v").alias("lead"), F.col("mini").alias("theirs")), "lead")
 
@@ -178,16 +179,17 @@ def split_again(rows: DataFrame, large: DataFrame, classes: DataFrame) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            path, v, lead = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            differ = (_bytes(b.column(4), COORDINATES) != _bytes(b.column(5), COORDINATES)).sum(1)
-            near = np.flatnonzero((differ <= CORE + LINK) & (v != lead))
-            far = np.flatnonzero(differ > CORE)
-            row, child = split(far, path[far].view(vec.U), _bytes(b.column(3), COORDINATES, np.uint32))
+            path, v, home, lead = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            differ = (_bytes(b.column(5), COORDINATES) != _bytes(b.column(6), COORDINATES)).sum(1)
+            linked, far = differ <= CORE + LINK, np.flatnonzero(differ > CORE)
+            home = np.where(linked, lead, home)
+            row, child = split(far, path[far].view(vec.U), _bytes(b.column(4), COORDINATES, np.uint32))
+            near = np.flatnonzero(linked & (v != lead))
             pairs = np.unique(np.stack([v[near], lead[near]], 1), axis=0)
-            cols = [pa.concat_arrays([pa.array(child.view(np.int64)), pa.nulls(len(pairs), pa.int64())]), pa.array(np.concatenate([v[row], pairs[:, 0]])), pa.concat_arrays([pa.nulls(len(row), pa.int64()), pa.array(pairs[:, 1])])]
-            yield pa.RecordBatch.from_arrays(cols, names=["path", "v", "lead"])
+            cols = [pa.concat_arrays([pa.array(child.view(np.int64)), pa.nulls(len(pairs), pa.int64())]), pa.array(np.concatenate([v[row], pairs[:, 0]])), pa.array(np.concatenate([home[row], pairs[:, 1]]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["path", "v", "home"])
 
-    return led.select("path", "v", "lead", "sketch", "mine", "theirs").mapInArrow(each, "path long, v long, lead long")
+    return led.select("path", "v", "home", "lead", "sketch", "mine", "theirs").mapInArrow(each, "path long, v long, home long")
 
 
 def stars(near: np.ndarray) -> np.ndarray:
@@ -257,10 +259,11 @@ def _links(b: pa.RecordBatch) -> pa.RecordBatch | None:
 
 def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
     """(a, b): links that connect all classes which are candidates in a common bucket."""
-    rows = cut(bucket_table(classes, n_runs), "buckets")
+    rows = cut(bucket_table(classes, n_runs), "buckets").withColumn("home", F.col("v"))
     members, found = [], []
     for depth in range(START, DEEP + 1):
-        size = cut(rows.groupBy("path").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("mark")).where("lo < hi"), "sizes")
+        of = rows.groupBy("path").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("mark"), F.min("home").alias("one"), F.max("home").alias("other"))
+        size = cut(of.where("lo < hi AND one <> other").drop("one", "other"), "sizes")
         done = size if depth == DEEP else size.where(F.col("n") <= LIMIT)
         # runs meet the same bucket again and again: one of them is compared
         kept = done.groupBy("lo", "hi", "n", "mark").agg(F.min("path").alias("path"))
@@ -270,8 +273,8 @@ def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
         if depth == DEEP or large.isEmpty():
             break
         both = cut(split_again(rows, large, classes), "splits")
-        found.append(both.where("lead is not null").select(F.col("v").alias("a"), F.col("lead").alias("b")))
-        rows = both.where("path is not null").select("path", "v")
+        found.append(both.where("path is null").select(F.col("v").alias("a"), F.col("home").alias("b")))
+        rows = both.where("path is not null")
     all_members = members[0]
     for m in members[1:]:
         all_members = all_members.unionByName(m)
