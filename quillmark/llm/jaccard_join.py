@@ -173,7 +173,7 @@ def bucket_table(classes: DataFrame, n_runs: int) -> DataFrame:
 def split_again(rows: DataFrame, large: DataFrame, classes: DataFrame) -> DataFrame:
     """(path, v, home): the children of large buckets' rows, and, with a null path, links of classes to their leaders."""
     led = rows.join(large.select("path", F.col("lo").alias("lead")), "path")
-    led = led.join(classes.select("v", "sketch", F.col("mini").alias("mine")), "v").join(classes.select(F.col("v").alias("lead"), F.col("mini").alias("theirs")), "lead")
+    led = led.join(classes.select(F.col("v").alias("lead"), F.col("mini").alias("theirs")), "lead").join(classes.select("v", "sketch", F.col("mini").alias("mine")), "v")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,7 +260,7 @@ def _links(b: pa.RecordBatch) -> pa.RecordBatch | None:
 def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
     """(a, b): links that connect all classes which are candidates in a common bucket."""
     rows = cut(bucket_table(classes, n_runs), "buckets").withColumn("home", F.col("v"))
-    members, found = [], []
+    members, found, some = [], [], None
     for depth in range(START, DEEP + 1):
         of = rows.groupBy("path").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("mark"), F.min("home").alias("one"), F.max("home").alias("other"))
         size = cut(of.where("lo < hi AND one <> other").drop("one", "other"), "sizes")
@@ -272,7 +272,10 @@ def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
         large = size.where(F.col("n") > LIMIT)
         if depth == DEEP or large.isEmpty():
             break
-        both = cut(split_again(rows, large, classes), "splits")
+        if some is None:  # no other class is split at any later depth
+            split_ = rows.join(large.select("path"), "path").select("v").distinct()
+            some = cut(classes.select("v", "sketch", "mini").join(split_, "v", "left_semi"), "some")
+        both = cut(split_again(rows, large, some), "splits")
         found.append(both.where("path is null").select(F.col("v").alias("a"), F.col("home").alias("b")))
         rows = both.where("path is not null")
     all_members = members[0]
