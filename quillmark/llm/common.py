@@ -52,10 +52,17 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and lost executors lose nothing."""
+#: Rows of a written table that a file takes at least, where their number is known.
+ROWS_A_FILE = 200_000
+
+
+def cut(df: DataFrame, kind: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and lost executors lose nothing.
+
+    rows: about how many there are, where that is known: a small table then takes few tasks and files, as many as it needs.
+    """
     path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

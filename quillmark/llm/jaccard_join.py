@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from quillmark.llm import vec
 from quillmark.llm.common import cut, fresh
-from quillmark.llm.components import components
+from quillmark.llm.components import counted_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -260,22 +260,22 @@ def _links(b: pa.RecordBatch) -> pa.RecordBatch | None:
 def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
     """(a, b): links that connect all classes which are candidates in a common bucket."""
     rows = cut(bucket_table(classes, n_runs), "buckets").withColumn("home", F.col("v"))
-    members, found, some = [], [], None
+    members, found, some, left = [], [], None, None
     for depth in range(START, DEEP + 1):
         of = rows.groupBy("path").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("mark"), F.min("home").alias("one"), F.max("home").alias("other"))
-        size = cut(of.where("lo < hi AND one <> other").drop("one", "other"), "sizes")
+        size = cut(of.where("lo < hi AND one <> other").drop("one", "other"), "sizes", left)
         done = size if depth == DEEP else size.where(F.col("n") <= LIMIT)
         # runs meet the same bucket again and again: one of them is compared
         kept = done.groupBy("lo", "hi", "n", "mark").agg(F.min("path").alias("path"))
         pairs = kept.where("n = 2").select("path", "n", F.explode(F.array("lo", "hi")).alias("v"))
         members.append(pairs.unionByName(rows.join(kept.where("n > 2").select("path", "n"), "path").select("path", "n", "v")))
         large = size.where(F.col("n") > LIMIT)
-        if depth == DEEP or large.isEmpty():
+        if depth == DEEP or not (left := large.agg(F.sum("n")).first()[0]):
             break
         if some is None:  # no other class is split at any later depth
             split_ = rows.join(large.select("path"), "path").select("v").distinct()
-            some = cut(classes.select("v", "sketch", "mini").join(split_, "v", "left_semi"), "some")
-        both = cut(split_again(rows, large, some), "splits")
+            some = cut(classes.select("v", "sketch", "mini").join(split_, "v", "left_semi"), "some", left)
+        both = cut(split_again(rows, large, some), "splits", 16 * left)  # each row costs more than one that is only written
         found.append(both.where("path is null").select(F.col("v").alias("a"), F.col("home").alias("b")))
         rows = both.where("path is not null")
     all_members = members[0]
@@ -366,15 +366,16 @@ def _joined(documents: DataFrame, recall: float) -> DataFrame:
     table = cut(digest_table(documents), "digests")
     able = table.where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
     classes = cut(able.groupBy(F.col("d1").alias("v"), "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")), "classes")
-    blocks = components(candidate_edges(classes, runs(recall)))
-    blocked = cut(classes.select("v", "d2", "size", "rep", "docs").join(blocks.select("v", F.col("root").alias("block")), "v"), "blocks")
+    blocks, n = counted_components(candidate_edges(classes, runs(recall)))
+    blocked = cut(classes.select("v", "d2", "size", "rep", "docs").join(blocks.select("v", F.col("root").alias("block")), "v"), "blocks", n)
     parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("size") / F.lit(KEYS)))
-    parts = cut(blocked.groupBy("block").agg(parts.cast("long").alias("parts")), "parts")
+    parts = cut(blocked.groupBy("block").agg(parts.cast("long").alias("parts")), "parts", n)
     compared = cut(compare_blocks(documents, blocked.join(parts, "block")), "links")
     n_links = compared.where("other is null").groupBy("v").agg(F.sum("links").alias("links"))
     rep = classes.select("v", "d2", "size", "rep", "docs")
-    joined = cut(components(compared.where("other is not null").select(F.col("v").alias("a"), F.col("other").alias("b"))).join(rep.select("v", "rep"), "v"), "joined")
-    least = cut(joined.groupBy("root").agg(F.min("rep").alias("class_id")), "ids")
+    linked, n = counted_components(compared.where("other is not null").select(F.col("v").alias("a"), F.col("other").alias("b")))
+    joined = cut(linked.join(rep.select("v", "rep"), "v"), "joined", n)
+    least = cut(joined.groupBy("root").agg(F.min("rep").alias("class_id")), "ids", n)
     known = rep.join(joined.join(least, "root").select("v", "class_id"), "v", "left").join(n_links, "v", "left")
     known = known.select(F.col("v").alias("d1"), "d2", "size", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     mine = table.select("doc_id", "d1", "d2", "size")
