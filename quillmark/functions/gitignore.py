@@ -37,3 +37,14 @@ def ignored_by(path: Column, rules: list[str]) -> Column:
             rx, back = rule_regex(r.strip())
             out = F.when(path.rlike(rx), F.lit(not back)).otherwise(out)
     return out
+
+
+def ignored_below(path: Column, specs: dict[str, list[str]]) -> Column:
+    """Ignored by any of the rule lists, each of which holds below its folder (`` for the root) and sees paths from there; and
+    whatever lies in .git."""
+    out = path.rlike(r"^\.git(?:/|$)")
+    for folder, rules in specs.items():
+        at = folder.strip("/")
+        inner = F.substr(path, F.lit(len(at) + 2)) if at else path
+        out = out | (ignored_by(inner, rules) & (path.startswith(at + "/") if at else F.lit(True)))
+    return out

@@ -59,13 +59,26 @@ def name_similarity_of(a: Column, b: Column) -> Column:
     return F.pandas_udf(each, "double")(a, b)
 
 
+#: Elements whose content is no text (fixed values).
+HIDDEN = ("script", "style", "template")
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.within: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in HIDDEN:
+            self.within.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.within:
+            del self.within[self.within.index(tag) :]
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
+        if data.strip() and not self.within:
             self.parts.append(data.strip())
 
 

@@ -9,17 +9,31 @@ from pyspark.sql import functions as F
 
 #: Paths that hold tests (fixed values: these conventions decide the results).
 TEST_GLOBS = (
-    "tests/*", "*/tests/*", "test/*", "*/test/*", "__tests__/*", "*/__tests__/*", "spec/*", "*/spec/*",
-    "test_*", "*/test_*", "*_test.*", "*.test.*", "*.spec.*", "*_spec.*", "*Test.java", "*Tests.java", "*Test.kt", "*Tests.cs", "conftest.py",
+    "test/*", "tests/*", "spec/*", "*/test/*", "*/tests/*", "*/spec/*", "*/testing/*",
+    "test_*", "*/test_*", "*_test.*", "*/*_test.*", "*.test.*", "*/*.test.*", "*.spec.*", "*/*.spec.*", "*Test.*", "*/*Test.*", "*Tests.*", "*/*Tests.*",
+)
+#: Folders that are never indexed (fixed values); a tool that keeps a folder of its own adds it where these are used.
+IGNORED = (
+    ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "env", ".env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target",
+    "out", "bin", "obj", ".idea", ".vscode", ".gradle", ".tox", ".nox", ".cache", "site-packages", ".next", ".nuxt", "vendor", "coverage",
 )
-#: Folders that are never indexed (fixed values).
-IGNORED = ("node_modules", "__pycache__", ".git", ".hg", ".svn", ".venv", "venv", "dist", "build", "target", "vendor", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode")
 #: Extensions and their languages (fixed values).
 EXTENSIONS = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin",
-    ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".scala": "scala", ".lua": "lua", ".sh": "bash", ".sql": "sql",
-    ".html": "html", ".css": "css", ".json": "json", ".md": "markdown", ".txt": "text",
+    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby", ".rake": "ruby",
+    ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".cs": "csharp", ".lua": "lua",
+    ".ex": "elixir", ".exs": "elixir", ".el": "elisp", ".clj": "clojure", ".cljs": "clojure", ".cljc": "clojure", ".lisp": "commonlisp", ".cl": "commonlisp",
+    ".dart": "dart", ".swift": "swift", ".sh": "bash", ".bash": "bash", ".r": "r", ".ml": "ocaml", ".mli": "ocaml_interface", ".elm": "elm", ".sol": "solidity",
+    ".d": "d", ".gleam": "gleam", ".rkt": "racket", ".ino": "arduino", ".m": "matlab", ".pony": "pony",
 }
+#: Words of declarations that are no base types (fixed values).
+DECLARING = (
+    "public", "private", "protected", "internal", "abstract", "final", "static", "sealed", "open", "export", "default", "class", "struct", "interface", "enum", "trait", "object",
+    "data", "record", "type", "where", "implements", "extends", "case", "impl", "for", "with", "partial", "const", "var", "val", "func", "fn",
+)
+#: Kinds that take part in a type hierarchy, and paths that a list of the most used names leaves out (fixed values).
+TYPE_KINDS = ("class", "interface", "struct", "trait", "enum", "type", "object", "protocol", "record")
+OVERVIEW_EXCLUDED = ("*.min.js", "*.min.css", "*/vendor/*", "*/node_modules/*", "*/third_party/*")
 
 
 def glob_regex(pattern: str) -> str:
@@ -67,21 +81,35 @@ def matches_glob(path: Column, pattern: str) -> Column:
     return path.rlike(rx) if "/" in pattern else path.rlike(rx) | F.element_at(F.split(path, "/"), -1).rlike(rx)
 
 
+def search_regex(glob: str) -> str:
+    """The unanchored regex of a text search's glob: `*` is any text, `?` any two characters, `\\x` is x itself."""
+    found = re.findall(r"\\.|\\$|[^\\]", glob, re.S)
+    special = {"*": ".*", "?": ".."}
+    return "".join(special[c] if c in special else re.escape(c[-1]) for c in found)
+
+
 def is_test(path: Column) -> Column:
-    return any_rlike(path, [glob_regex(g) for g in TEST_GLOBS]) | any_rlike(F.element_at(F.split(path, "/"), -1), [glob_regex(g) for g in TEST_GLOBS if "/" not in g])
+    return any_rlike(path, [glob_regex(g) for g in TEST_GLOBS])
+
+
+def test_hint(path: Column) -> Column:
+    """Whether `test` or `spec` is anywhere in the path, whatever its case: broader than is_test."""
+    return F.lower(path).rlike("test|spec")
 
 
 def language_of(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """By the lower-cased ending of the last part; a name that is an ending only has none."""
+    ext = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
     return F.element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), ext)
 
 
-def ignored(path: Column) -> Column:
-    return F.exists(F.split(path, "/"), lambda p: p.isin(*IGNORED))
+def ignored(path: Column, own: tuple[str, ...] = ()) -> Column:
+    return F.exists(F.split(path, "/"), lambda p: p.isin(*IGNORED, *own))
 
 
 def unsafe(path: Column) -> Column:
-    return path.startswith("/") | F.exists(F.split(path, "/"), lambda p: p == "..") | path.contains("\\") | path.rlike("^[A-Za-z]:")
+    """Absolute, climbing, with a backslash or a zero character, or with a drive."""
+    return path.startswith("/") | F.exists(F.split(path, "/"), lambda p: p == "..") | path.contains("\\") | path.contains("\0") | path.rlike("^[A-Za-z]:")
 
 
 def fold(body: Column, most: int) -> Column:
@@ -112,12 +140,24 @@ def embed_text(kind: Column, name: Column, signature: Column, body: Column) -> C
     return F.concat(head, F.lit("\n\n"), F.substring(strip(body), 1, 1800))
 
 
+def snippet_signature(snippet: Column) -> Column:
+    """The first line with a character in it, stripped; empty if there is none."""
+    return F.coalesce(strip(F.get(F.filter(F.split(snippet, "\n", -1), lambda x: strip(x) != ""), F.lit(0))), F.lit(""))
+
+
+def snippet_text(snippet: Column) -> Column:
+    """A raw snippet in the shape that symbols are embedded in: its first line stands for the signature."""
+    head = snippet_signature(snippet)
+    return F.concat(head, F.lit("\n\n"), F.substring(strip(snippet), 1, 1800))
+
+
 def base_names(name: Column, signature: Column) -> Column:
-    """Identifiers after the first occurrence of the name, up to a brace, without the name itself, in order."""
-    tail = F.substring_index(F.substr(signature, F.instr(signature, name) + F.length(name)), "{", 1)
-    found = F.regexp_extract_all(tail, F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))
-    last = F.transform(found, lambda x: F.element_at(F.split(x, r"\."), -1))
-    return F.array_distinct(F.filter(last, lambda x: x != name))
+    """The identifiers after the first occurrence of the name (of the whole signature without one), up to a brace, without the
+    name and the words of declarations, by their last parts, in order."""
+    tail = F.when(F.contains(signature, name), F.substr(signature, F.instr(signature, name) + F.length(name))).otherwise(signature)
+    found = F.regexp_extract_all(F.substring_index(tail, "{", 1), F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))
+    kept = F.filter(found, lambda x: (x != name) & ~x.isin(*DECLARING))
+    return F.array_distinct(F.transform(kept, lambda x: F.element_at(F.split(x, r"\."), -1)))
 
 
 def cosine_from_l2(distance: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import checkpointed
+
 
 def owner_of(points: DataFrame, symbols: DataFrame, line: str = "line", order: list[Column] | None = None) -> DataFrame:
     """points with owner_id, the innermost symbol whose lines hold the point, null if none.
@@ -38,10 +40,20 @@ def difference(after: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, on, "left_anti")
 
 
-def climb(start: DataFrame, parents: DataFrame, low: Column, most: int = 8) -> DataFrame:
-    """(key, id): each start's nearest ancestor, itself included, for which low is false; parents: (id, parent_id, ...)."""
-    now = start.join(parents, "id", "left")
-    for _ in range(most):
-        up = F.when(low & F.col("parent_id").isNotNull(), F.col("parent_id")).otherwise(F.col("id"))
-        now = now.select("key", up.alias("id")).join(parents, "id", "left")
-    return now.select("key", "id")
+def climb(start: DataFrame, parents: DataFrame, low: Column) -> DataFrame:
+    """(key, id): each start's nearest ancestor, itself included, for which low is false; the last one if low is true for all.
+
+    parents: (id, parent_id, ...). One join a level; the rows that don't move any more leave the loop, so it ends with the
+    deepest chain. A chain that leads back to itself is an error.
+    """
+    done, now = None, start.select("key", "id", F.array("id").alias("trail"))
+    while True:
+        at = checkpointed(now.join(parents, "id", "left").withColumn("up", F.coalesce(low, F.lit(False)) & F.col("parent_id").isNotNull()))
+        still = at.where("not up").select("key", "id")
+        done = still if done is None else done.unionByName(still)
+        moved = at.where("up")
+        if moved.isEmpty():
+            return done
+        if not moved.where(F.array_contains("trail", F.col("parent_id"))).isEmpty():
+            raise ValueError("a symbol is its own ancestor")
+        now = moved.select("key", F.col("parent_id").alias("id"), F.concat("trail", F.array("parent_id")).alias("trail"))

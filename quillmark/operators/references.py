@@ -6,6 +6,7 @@ text. notes: (name, text); names: (name). Null texts mention nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -140,3 +141,12 @@ def auto_prefix(notes: DataFrame, names: DataFrame, flat: bool = False, read_onl
     any_of = F.concat(F.lit(f"{_BEFORE}(?:"), F.array_join("names", "|"), F.lit(f"){_AFTER}"))
     out = rows.select("name", "text").join(per.withColumnRenamed("source", "name"), "name")
     return out.select("name", F.regexp_replace("text", any_of, F.lit(f"{MARK}$0")).alias("text"), "names", "n")
+
+
+def renamed(notes: DataFrame, old: str, new: str, marked_only: bool = True) -> DataFrame:
+    """(name, text, n): the notes that refer to a name, with the new one in its place, and how often. marked_only: references
+    with the mark; else whole unmarked runs too."""
+    before = rf"(?<!{CHARS}){MARK}" if marked_only else rf"(?:(?<!{CHARS}){MARK}|{_BEFORE})"
+    rx = rf"({before}){re.escape(old)}{_AFTER}"
+    n = F.regexp_count("text", F.lit(rx)).cast("long")
+    return notes.select("name", F.regexp_replace("text", rx, "$1" + new.replace("$", "\\$")).alias("text"), n.alias("n")).where("n > 0")

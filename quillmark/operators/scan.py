@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import checkpointed
+
 
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, k, line): lines from 0."""
@@ -26,6 +28,18 @@ def with_context(documents: DataFrame, pattern: str, before: int, after: int) ->
     return rows.select("doc_id", F.col("k").cast("long").alias("line_no"), "k", "a", F.explode(place).alias("place")).select("doc_id", "line_no", F.col("place").cast("long").alias("place"), F.get("a", F.col("k") + F.col("place")).alias("line"))
 
 
+def display(place: Column, line_no: Column, line: Column) -> Column:
+    """A line for reading: its mark, its number in four places, and itself."""
+    number = F.when(F.length(line_no.cast("string")) < 4, F.lpad(line_no.cast("string"), 4, " ")).otherwise(line_no.cast("string"))
+    return F.concat(F.when(place == 0, "  >").otherwise("..."), number, F.lit(":"), line)
+
+
+def decoded(field: Column) -> Column:
+    """A JSON field {text} or {bytes: base64} as text; bytes that aren't UTF-8 become the replacement character."""
+    raw = F.unbase64(F.get_json_object(field, "$.bytes"))
+    return F.coalesce(F.get_json_object(field, "$.text"), F.make_valid_utf8(raw.cast("string")), F.lit(""))
+
+
 def across_lines(documents: DataFrame, pattern: str, before: int = 0, after: int = 0) -> DataFrame:
     """(doc_id, match, line_no, place, line): for each match in a whole text, numbered from 0, its lines and those around them.
 
@@ -61,29 +75,33 @@ def across_lines(documents: DataFrame, pattern: str, before: int = 0, after: int
     return hit.mapInArrow(each, "doc_id long, match long, line_no long, place long, line string")
 
 
-def containing(blocks: DataFrame, bodies: DataFrame, most_chars: int = 16_000_000) -> DataFrame:
-    """(item_id, n): how many bodies hold each block's text. The blocks are a stated query set: their size is checked, and they
-    are searched in one pass of the bodies as literals of an Arrow scan."""
+def containing(blocks: DataFrame, bodies: DataFrame, pass_chars: int = 4_000_000) -> DataFrame:
+    """(item_id, n): how many bodies hold each block's text. The blocks are a query set: about pass_chars of them at a time are
+    searched in one pass of the bodies, as literals of an Arrow scan, and each pass is written before the next one begins."""
     import pyarrow as pa
 
-    rows = blocks.where("text <> ''").limit(200_000).collect()
-    if sum(len(r.text) for r in rows) > most_chars:
-        raise ValueError("too many blocks for one pass; give them in parts")
-    items = [(r.item_id, r.text) for r in rows]
-
-    def each(batches):
-        import ahocorasick
-
-        find = ahocorasick.Automaton()
-        ids: dict[str, list[int]] = {}
-        for i, t in items:
-            ids.setdefault(t, []).append(i)
-        for t in ids:
-            find.add_word(t, t)
-        if ids:
-            find.make_automaton()
-        for b in batches:
-            hit = [(p, i) for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if items and body for t in {x for _, x in find.iter(body)} for i in ids[t]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hit], pa.string()), pa.array([x[1] for x in hit], pa.int64())], names=["path", "item_id"])
-
-    return bodies.select("path", "body").mapInArrow(each, "path string, item_id long").groupBy("item_id").agg(F.count_distinct("path").alias("n"))
+    asked = blocks.where("text <> ''").select("item_id", "text")
+    total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes, found = max(1, -(-total // pass_chars)), None
+    for i in range(passes):
+        items = [(r.item_id, r.text) for r in asked.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).collect()]
+
+        def each(batches, items=items):
+            import ahocorasick
+
+            find = ahocorasick.Automaton()
+            ids: dict[str, list[int]] = {}
+            for i, t in items:
+                ids.setdefault(t, []).append(i)
+            for t in ids:
+                find.add_word(t, t)
+            if ids:
+                find.make_automaton()
+            for b in batches:
+                hit = [(p, i) for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if items and body for t in {x for _, x in find.iter(body)} for i in ids[t]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hit], pa.string()), pa.array([x[1] for x in hit], pa.int64())], names=["path", "item_id"])
+
+        part = bodies.select("path", "body").mapInArrow(each, "path string, item_id long").groupBy("item_id").agg(F.count_distinct("path").alias("n"))
+        part = part if passes == 1 else checkpointed(part)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -7,6 +7,8 @@ global numbering (and no single task) is needed.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,18 +16,25 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources.shared import shared_dir
+from quillmark.sources.shared import exists, remove, shared_dir
 
 #: The corpora of this process, by application and folder.
 _LOADED: dict[tuple[str, str], Corpus] = {}
 
 BLOCK_LINES = 5
 SIGNATURE = 240
-ID_STEP = 1_000_000
+#: Ids that a document's symbols may take: more than the blocks of a text of 2 GB.
+ID_STEP = 400_000_000
 DIM = 64
 WORD = r"[\p{L}\p{N}]+"
 
 
+def _forget(corpus: Corpus) -> None:
+    """The index goes when the driver ends."""
+    with contextlib.suppress(Exception):
+        corpus.drop()
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -73,14 +82,25 @@ class Corpus:
         """The corpus of a folder of tables, whose index is built once in a session, table by table, at first use."""
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _LOADED:
-            _LOADED[key] = cls(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+            _LOADED[key] = made = cls(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+            atexit.register(_forget, made)
         return _LOADED[key]
 
     def stored(self, name: str, table: DataFrame) -> DataFrame:
+        """The table, written below the folder once. A write that failed half-way left no success mark and is made again."""
         if self.folder is None:
             return table
-        table.write.parquet(f"{self.folder}/{name}")
-        return table.sparkSession.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+        at = f"{self.folder}/{name}"
+        if not exists(table.sparkSession, f"{at}/_SUCCESS"):
+            table.write.mode("overwrite").parquet(at)
+        return table.sparkSession.read.schema(table.schema).parquet(at)
+
+    def drop(self) -> None:
+        """Forget the corpus and remove its index, after which `load` reads the files as they are then."""
+        for key in [k for k, c in _LOADED.items() if c is self]:
+            del _LOADED[key]
+        if self.folder is not None:
+            remove(self.documents.sparkSession, self.folder)
 
     def build(self) -> Corpus:
         """Make all tables now."""

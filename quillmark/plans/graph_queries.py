@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.operators import aggregates as A
 from quillmark.operators import graph as G
 from quillmark.plans.corpus import Corpus, with_corpus
 from quillmark.plans.registry import query
+from quillmark.plans.search_queries import _fused_sql
 
-NAME = "retion"
+#: A name that many symbols use, and one that few use.
+NAME, RARE = "retion", "reened"
 DEFS = "defs AS (SELECT name, min((path, start_line, id)) AS loc FROM symbols WHERE kind = 'block' GROUP BY name)"
 CALLS = "calls AS (SELECT DISTINCT r.owner_id AS caller_id, s.name AS caller, s.path AS from_path, r.name AS callee FROM refs r JOIN symbols s ON r.owner_id = s.id WHERE r.name <> s.name)"
 LOCAL = "near AS (SELECT path, name, min((path, start_line, id)) AS loc FROM symbols WHERE kind = 'block' GROUP BY ALL)"
@@ -34,25 +37,57 @@ def dependencies(spark, sf_dir):
     return G.dependencies(_c(spark, sf_dir), NAME).withColumn("start_line", F.col("start_line").cast("long"))
 
 
-@query("call_chain", with_corpus("""SELECT depth, parent, name, id, trail FROM tree""", DEFS, CALLS, LOCAL, STEPS,
-       f"""t0 AS (SELECT 0 AS depth, NULL::VARCHAR AS parent, name, loc[3] AS id, loc[3]::VARCHAR AS trail, [loc[3]] AS ids, TRUE AS open FROM defs WHERE name = '{NAME}'),
-t1 AS (SELECT 1 AS depth, t.name AS parent, s.callee AS name, s.loc[3] AS id, t.trail || '>' || s.loc[3] AS trail, list_append(t.ids, s.loc[3]) AS ids, NOT list_contains(t.ids, s.loc[3]) AS open FROM t0 t JOIN steps s ON s.caller_id = t.id WHERE t.open),
-t2 AS (SELECT 2 AS depth, t.name AS parent, s.callee AS name, s.loc[3] AS id, t.trail || '>' || s.loc[3] AS trail, list_append(t.ids, s.loc[3]) AS ids, NOT list_contains(t.ids, s.loc[3]) AS open FROM t1 t JOIN steps s ON s.caller_id = t.id WHERE t.open),
-tree AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)"""))
+#: The callees of the symbols of a table of ids, and the tree's levels, one CTE each.
+_CALLEES = """{n}_o AS MATERIALIZED (SELECT DISTINCT id FROM {front}),
+{n}_c AS MATERIALIZED (SELECT DISTINCT r.owner_id AS caller_id, s.path AS from_path, r.name AS callee FROM refs r JOIN {n}_o o ON r.owner_id = o.id JOIN symbols s ON s.id = o.id WHERE r.name <> s.name),
+{n}_n AS MATERIALIZED (SELECT name, path, min((path, start_line, id)) AS loc FROM symbols WHERE kind = 'block' AND name IN (SELECT callee FROM {n}_c) GROUP BY ALL),
+{n} AS MATERIALIZED (SELECT c.caller_id, c.callee, coalesce(n.loc, f.loc) AS loc FROM {n}_c c LEFT JOIN {n}_n n ON n.path = c.from_path AND n.name = c.callee JOIN (SELECT name, min(loc) AS loc FROM {n}_n GROUP BY name) f ON f.name = c.callee)"""
+_ROOT = "t0 AS MATERIALIZED (SELECT 0 AS depth, NULL::VARCHAR AS parent, '{name}' AS name, min((path, start_line, id))[3] AS id, coalesce(min((path, start_line, id))[3]::VARCHAR, '') AS trail, list_filter([min((path, start_line, id))[3]], lambda x: x IS NOT NULL) AS ids, TRUE AS open FROM symbols WHERE kind = 'block' AND name = '{name}')"
+
+
+def _chain_sql(name: str, depth: int) -> tuple[str, ...]:
+    out = [_ROOT.format(name=name)]
+    for k in range(1, depth + 1):
+        out.append(f"f{k} AS MATERIALIZED (SELECT * FROM t{k - 1} WHERE open AND id IS NOT NULL)")
+        out.append(_CALLEES.format(n=f"s{k}", front=f"f{k}"))
+        out.append(f"t{k} AS MATERIALIZED (SELECT {k} AS depth, f.name AS parent, s.callee AS name, s.loc[3] AS id, f.trail || '>' || s.loc[3] AS trail, list_append(f.ids, s.loc[3]) AS ids, NOT list_contains(f.ids, s.loc[3]) AS open FROM f{k} f JOIN s{k} s ON s.caller_id = f.id)")
+    return (*out, "tree AS (" + " UNION ALL ".join(f"SELECT depth, parent, name, id, trail FROM t{k}" for k in range(depth + 1)) + ")")
+
+
+def _impact_sql(name: str, depth: int) -> tuple[str, ...]:
+    out = [_ROOT.format(name=name)]
+    for k in range(1, depth + 1):
+        out.append(f"f{k} AS MATERIALIZED (SELECT * FROM t{k - 1} WHERE open)")
+        out.append(f"u{k} AS MATERIALIZED (SELECT DISTINCT r.name AS callee, s.id, s.name FROM refs r JOIN symbols s ON s.id = r.owner_id WHERE r.name IN (SELECT name FROM f{k}) AND s.name <> r.name)")
+        out.append(f"t{k} AS MATERIALIZED (SELECT {k} AS depth, f.name AS parent, u.name, u.id, f.trail || '>' || u.id AS trail, list_append(f.ids, u.id) AS ids, NOT list_contains(f.ids, u.id) AS open FROM f{k} f JOIN u{k} u ON u.callee = f.name)")
+    return (*out, "tree AS (" + " UNION ALL ".join(f"SELECT depth, parent, name, id, trail FROM t{k}" for k in range(depth + 1)) + ")")
+
+
+@query("call_chain", with_corpus("SELECT * FROM tree", *_chain_sql(RARE, 3)))
 def call_chain(spark, sf_dir):
-    return G.call_chain(_c(spark, sf_dir), NAME, 2)
+    return G.call_chain(_c(spark, sf_dir), RARE, 3)
 
 
-@query("change_impact", with_corpus(f"SELECT min(depth) AS depth, name FROM (SELECT 0 AS depth, '{NAME}' AS name UNION ALL SELECT 1, caller FROM calls WHERE callee = '{NAME}' UNION ALL SELECT 2, b.caller FROM calls a JOIN calls b ON b.callee = a.caller WHERE a.callee = '{NAME}') GROUP BY name", CALLS))
+@query("change_impact", with_corpus("SELECT * FROM tree", *_impact_sql(RARE, 2)))
 def change_impact(spark, sf_dir):
-    return G.change_impact(_c(spark, sf_dir), NAME, 2)
+    return G.change_impact(_c(spark, sf_dir), RARE, 2)
 
 
-@query("graph_neighbourhood", with_corpus(f"SELECT 'caller' AS side, caller AS name, count(*) AS n FROM calls WHERE callee = '{NAME}' GROUP BY ALL UNION ALL SELECT 'callee', callee, count(*) FROM calls WHERE caller = '{NAME}' GROUP BY ALL", CALLS))
+_NEAR = (
+    f"nd AS MATERIALIZED (SELECT id, name, path, start_line FROM symbols WHERE kind = 'block' AND name = '{RARE}')",
+    _CALLEES.format(n="ns", front="nd"),
+    f"""near1 AS MATERIALIZED (SELECT DISTINCT '{RARE}' AS of, 'caller' AS side, s.name, s.path, s.start_line FROM refs r JOIN symbols s ON s.id = r.owner_id WHERE r.name = '{RARE}' AND s.name <> '{RARE}'
+ UNION SELECT '{RARE}', 'callee', callee, arg_min(loc, (path, start_line, id))[1], arg_min(loc, (path, start_line, id))[2] FROM ns JOIN nd ON nd.id = ns.caller_id GROUP BY callee)""",
+    "nd2 AS MATERIALIZED (SELECT id, name, path, start_line FROM symbols WHERE kind = 'block' AND name IN (SELECT name FROM near1))",
+    _CALLEES.format(n="ns2", front="nd2"),
+    """near2 AS MATERIALIZED (SELECT DISTINCT r.name AS of, 'caller' AS side, s.name, s.path, s.start_line FROM refs r JOIN symbols s ON s.id = r.owner_id WHERE r.name IN (SELECT name FROM near1) AND s.name <> r.name
+ UNION SELECT nd2.name, 'callee', callee, arg_min(loc, (path, start_line, id))[1], arg_min(loc, (path, start_line, id))[2] FROM ns2 JOIN nd2 ON nd2.id = ns2.caller_id GROUP BY nd2.name, callee)""",
+)
+
+
+@query("graph_neighbourhood", with_corpus(f"SELECT '{RARE}' AS of, 'definition' AS side, name, path, start_line FROM symbols WHERE name = '{RARE}' UNION ALL SELECT * FROM near1 UNION ALL SELECT * FROM near2", *_NEAR))
 def graph_neighbourhood(spark, sf_dir):
-    e = G.call_edges(_c(spark, sf_dir))
-    a = e.where(F.col("callee") == NAME).groupBy(F.lit("caller").alias("side"), F.col("caller").alias("name")).agg(F.count("*").alias("n"))
-    return a.unionByName(e.where(F.col("caller") == NAME).groupBy(F.lit("callee").alias("side"), F.col("callee").alias("name")).agg(F.count("*").alias("n")))
+    return G.neighbourhood(_c(spark, sf_dir), RARE, 2).withColumn("start_line", F.col("start_line").cast("long"))
 
 
 _PATH = "src1/en/doc_1.txt"
@@ -139,18 +174,35 @@ def lang_hist(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("lang_share", "SELECT lang, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 2) AS share FROM documents GROUP BY lang")
-def lang_share(spark, sf_dir):
-    from quillmark.operators.aggregates import shares
+#: Files of several languages, as the tables have none: endings by the document's id.
+_ENDINGS = (".py", ".PY", ".go", ".rs", ".rb", ".tsx", ".ts", ".md", ".json", ".py")
+_MASKS = {"python": (".py", ".pyi"), "go": (".go",), "rust": (".rs",), "ruby": (".rb",), "typescript": (".ts", ".tsx"), "react": (".tsx",), "json": (".json",), "java": (".java",)}
+_PROGRAMMING = ["python", "go", "rust", "ruby", "typescript", "java"]
+_MIXED = "mixed AS (SELECT 'src/f' || doc_id || CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDINGS)) + " END AS path FROM documents)"
 
-    return shares(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang")
 
+def _share_sql(lang: str, endings: tuple[str, ...]) -> str:
+    hit = " OR ".join(f"ends_with(lower(path), '{e}')" for e in endings)
+    return f"SELECT '{lang}' AS lang, round(100.0::DOUBLE * count(*) FILTER (WHERE {hit}) / count(*), 2) AS share, count(*) FILTER (WHERE {hit}) AS n FROM mixed"
 
-@query("lang_significant", "SELECT lang, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 2) AS share FROM documents GROUP BY lang HAVING share >= 10 ORDER BY share DESC, lang LIMIT 4")
-def lang_significant(spark, sf_dir):
-    from quillmark.operators.aggregates import shares
 
-    return shares(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang").where("share >= 10").orderBy(F.desc("share"), "lang").limit(4)
+_SHARES = "shares AS (" + " UNION ALL ".join(_share_sql(*x) for x in _MASKS.items()) + ")"
+_KNOWN = ", ".join(f"'{x}'" for x in _PROGRAMMING)
+
+
+def _mixed(spark, sf_dir):
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), ending).alias("path"))
+
+
+@query("lang_share", f"WITH {_MIXED}, {_SHARES} SELECT lang, share FROM shares WHERE n > 0")
+def lang_share(spark, sf_dir):
+    return A.composition(_mixed(spark, sf_dir), _MASKS)
+
+
+@query("lang_significant", f"WITH {_MIXED}, {_SHARES} SELECT lang, share FROM shares WHERE share >= 10 AND lang IN ({_KNOWN}) ORDER BY share DESC, lang LIMIT 4")
+def lang_significant(spark, sf_dir):
+    return A.significant(A.composition(_mixed(spark, sf_dir), _MASKS), _PROGRAMMING)
 
 
 @query("group_key", with_corpus(f"SELECT path, {KEY.format('path')} AS key FROM files"))
@@ -158,12 +210,22 @@ def group_key(spark, sf_dir):
     return _c(spark, sf_dir).files.select("path", T.group_key(F.col("path")).alias("key"))
 
 
-@query("code_context", with_corpus(f"""SELECT s.id, s.name, (SELECT count(DISTINCT caller_id) FROM calls c WHERE c.callee = s.name) AS called_by, (SELECT count(DISTINCT callee) FROM calls c WHERE c.caller_id = s.id) AS calls, s.name IN (SELECT name FROM symbols GROUP BY name HAVING count(*) > 1) AS speculative FROM symbols s WHERE s.name = '{NAME}'""", CALLS))
+_FOLD80 = "CASE WHEN len(string_split(body, chr(10))) <= 80 THEN body ELSE array_to_string(string_split(body, chr(10))[1:53], chr(10)) || chr(10) || '... [' || (len(string_split(body, chr(10))) - 79) || ' lines omitted] ...' || chr(10) || array_to_string(string_split(body, chr(10))[len(string_split(body, chr(10))) - 25:], chr(10)) END"
+_SHOW = "string_agg(name || '@' || path || ':' || start_line || CASE WHEN speculative THEN '?' ELSE '' END, ' ' ORDER BY k)"
+_CONTEXT = (
+    "focus AS MATERIALIZED (SELECT s.* FROM (SELECT * FROM fused ORDER BY score DESC, first, id LIMIT 3) f JOIN symbols s ON s.id = f.id)",
+    _CALLEES.format(n="cs", front="focus"),
+    "many AS (SELECT name FROM symbols GROUP BY name HAVING count(*) > 1)",
+    """edges AS MATERIALIZED (SELECT DISTINCT f.id AS of, CASE WHEN regexp_matches(lower(s.path), 'test|spec') THEN 'tests' ELSE 'called_by' END AS side, s.name, s.path, s.start_line FROM refs r JOIN symbols s ON s.id = r.owner_id JOIN focus f ON f.name = r.name WHERE s.name <> r.name
+ UNION ALL SELECT caller_id, 'calls', callee, loc[1], loc[2] FROM cs WHERE NOT regexp_matches(lower(loc[1]), 'test|spec'))""",
+    "ranked AS (SELECT *, name IN (SELECT name FROM many) AS speculative, row_number() OVER (PARTITION BY of, side ORDER BY path, start_line, name) AS k FROM edges)",
+    f"listed AS (SELECT of, side, {_SHOW} AS shown FROM ranked WHERE k <= 5 GROUP BY of, side)",
+)
+
+
+@query("code_context", with_corpus(f"""SELECT id, path, name, kind, start_line, end_line, md5({_FOLD80}) AS code, len(string_split(regexp_replace(body, '\\n$', ''), chr(10))) > 80 AS truncated,
+ coalesce((SELECT shown FROM listed WHERE of = focus.id AND side = 'called_by'), '') AS called_by, coalesce((SELECT shown FROM listed WHERE of = focus.id AND side = 'calls'), '') AS calls, coalesce((SELECT shown FROM listed WHERE of = focus.id AND side = 'tests'), '') AS tests FROM focus""", *_fused_sql(NAME, 3), *_CONTEXT))
 def code_context(spark, sf_dir):
-    c = _c(spark, sf_dir)
-    e = G.call_edges(c)
-    focus = c.heads.where(F.col("name") == NAME).select("id", "name")
-    callers = e.groupBy(F.col("callee").alias("name")).agg(F.count_distinct("caller_id").alias("called_by"))
-    callees = e.groupBy(F.col("caller_id").alias("id")).agg(F.count_distinct("callee").alias("calls"))
-    marks = G.ambiguous(c).select("name", F.lit(True).alias("speculative"))
-    return focus.join(callers, "name", "left").join(callees, "id", "left").join(marks, "name", "left").fillna(0, ["called_by", "calls"]).fillna(False, ["speculative"]).select("id", "name", "called_by", "calls", "speculative")
+    out = G.code_context(_c(spark, sf_dir), NAME)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("@"), x["path"], F.lit(":"), x["start_line"].cast("string"), F.when(x["speculative"], "?").otherwise(""))), " ").alias(c)
+    return out.select("id", "path", "name", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("code").cast("binary")).alias("code"), "truncated", shown("called_by"), shown("calls"), shown("tests"))

@@ -177,19 +177,18 @@ def ref_owner(spark, sf_dir):
     return Corpus.load(spark, sf_dir).refs
 
 
-@query("containing_symbol", with_corpus("SELECT path, 7 AS line, owner_id FROM owners WHERE line = 7"))
+@query("containing_symbol", with_corpus("SELECT l.path, l.lineno AS line, o.owner_id FROM lines l LEFT JOIN owners o ON o.path = l.path AND o.line = l.lineno"))
 def containing_symbol(spark, sf_dir):
     from quillmark.operators.joins import owner_of
 
     c = Corpus.load(spark, sf_dir)
-    return owner_of(c.lines.where("lineno = 7").select("path", F.col("lineno").alias("line")), c.heads)
+    return owner_of(c.lines.select("path", F.col("lineno").cast("long").alias("line")), c.heads)
 
 
-@query("fetch_symbols", with_corpus("SELECT id, s.path, name, f.lang AS file_lang, length(body)::BIGINT AS body_chars FROM symbols s JOIN files f ON s.path = f.path WHERE id % 7 = 0"))
+@query("fetch_symbols", with_corpus("SELECT id, s.path, name, f.lang AS file_lang, length(body)::BIGINT AS body_chars FROM symbols s JOIN files f ON s.path = f.path"))
 def fetch_symbols(spark, sf_dir):
     c = Corpus.load(spark, sf_dir)
-    hits = c.heads.where("id % 7 = 0").select("id")
-    return hydrate(hits, c.symbols, c.files).select("id", "path", "name", "file_lang", F.length("body").cast("long").alias("body_chars"))
+    return hydrate(c.heads.select("id"), c.symbols, c.files).select("id", "path", "name", "file_lang", F.length("body").cast("long").alias("body_chars"))
 
 
 _STRIP = "regexp_replace({}, '^[\\s]+|[\\s]+$', '', 'g')"
@@ -214,9 +213,22 @@ def missing_vectors(spark, sf_dir):
     return missing(docs.select("doc_id"), v.select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query("embed_backfill", with_corpus(f"SELECT id, count(*) AS parts, round(sum(x * x), 6) AS norm2 FROM vectors WHERE dim < {DIM} GROUP BY id"))
+@query("embed_backfill", with_corpus("SELECT id, count(*) AS parts, round(sum(x * x), 4) AS norm2, count(*) FILTER (WHERE x > 0) AS positive FROM vectors GROUP BY id"))
 def embed_backfill(spark, sf_dir):
-    return Corpus.load(spark, sf_dir).vectors.groupBy("id").agg(F.count("*").alias("parts"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("norm2"))
+    """A store with vectors of two thirds of the blocks, and then of all: the last third is filled in."""
+    import uuid
+
+    from quillmark.functions.embedders import embedder
+    from quillmark.sources.shared import shared_dir
+    from quillmark.sources.vectors import VectorStore
+
+    rows = Corpus.load(spark, sf_dir).symbols.where("kind = 'block'").select("id", F.col("body").alias("text"))
+    stored = VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    for part in (rows.where("id % 3 <> 0"), rows):
+        stored.backfill(part, embedder(f"digest-{DIM}"))
+    x = F.filter("embedding", lambda v: v != 0)
+    norm2 = F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 4)
+    return stored.vectors().where(F.size(x) > 0).select(F.col("vec_id").alias("id"), F.size(x).cast("long").alias("parts"), norm2.alias("norm2"), F.size(F.filter("embedding", lambda v: v > 0)).cast("long").alias("positive"))
 
 
 @query("min_lines", with_corpus("SELECT id FROM symbols WHERE end_line - start_line + 1 >= 5"))

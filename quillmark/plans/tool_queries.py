@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.functions import edits as E
 from quillmark.functions import text as T
+from quillmark.functions import testruns
 from quillmark.functions.similarity import name_similarity_of, render_html
 from quillmark.operators import aggregates as A
-from quillmark.operators import clones, references, tree
-from quillmark.operators.joins import difference, owner_of
+from quillmark.operators import clones, references, scan, tree
+from quillmark.operators.joins import climb, difference, owner_of
 from quillmark.plans.corpus import DIM, ID_STEP, WORD, Corpus, with_corpus
-from quillmark.plans.registry import query
-from quillmark.sources import diff, store
+from quillmark.plans.registry import ORACLE, query
+from quillmark.sources import code, diff, files, git, store
 from quillmark.sources.shared import shared_dir
-from quillmark.streaming import incremental
+from quillmark.streaming import incremental, runs
 
 
 def _t(spark, sf_dir, name):
@@ -76,86 +78,115 @@ def glob_match(spark, sf_dir):
     return _c(spark, sf_dir).files.select("path", T.any_rlike(F.col("path"), T.path_globs("src3/**/*.txt")).alias("hit"))
 
 
-@query("find_file", with_corpus("SELECT path FROM files WHERE regexp_matches(path, '/doc_.[0-9]*7[.]txt$')"))
+@query("search_glob", f"SELECT doc_id, k AS line_no, '  >' || lpad(k::VARCHAR, 4, ' ') || ':' || line AS shown FROM ({LINES}) WHERE regexp_matches(line, 'th..nd.*[.]') AND k < 10000")
+def search_glob(spark, sf_dir):
+    """Lines that a glob matches anywhere, as they are shown."""
+    hits = scan.with_context(_docs(spark, sf_dir), T.search_regex("th?nd*."), 0, 0).where("line_no < 10000")
+    return hits.select("doc_id", "line_no", scan.display(F.col("place"), F.col("line_no"), F.col("line")).alias("shown"))
+
+
+@query("find_file", with_corpus("SELECT path FROM files WHERE regexp_matches(path, '/doc_.[^/]*7[.]txt$')"))
 def find_file(spark, sf_dir):
-    return _c(spark, sf_dir).files.select("path").where(F.element_at(F.split("path", "/"), -1).rlike(T.glob_regex("doc_?*7.txt")) | F.col("path").rlike("/doc_.7[.]txt$"))
+    return files.named(_c(spark, sf_dir).files.select("path"), "doc_?*7.txt")
 
 
-@query("list_files", with_corpus("SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS folder, count(*) AS n FROM files GROUP BY folder"))
+@query("list_files", with_corpus("SELECT 'folder' AS kind, path, count(*) AS files FROM (SELECT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]) AS path FROM files) GROUP BY path UNION ALL SELECT 'file', path, 1 FROM files"))
 def list_files(spark, sf_dir):
-    return _c(spark, sf_dir).files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n"))
+    return files.listing(_c(spark, sf_dir).files)
 
 
-_FAKE = "CASE doc_id % 6 WHEN 0 THEN 'tests/a' || doc_id || '.py' WHEN 1 THEN 'src/latest' || doc_id || '.py' WHEN 2 THEN 'lib/node_modules/x.js' WHEN 3 THEN '../up' || doc_id || '.go' WHEN 4 THEN 'src/test_b.rs' ELSE '/abs/spec/c_spec.rb' END"
+#: Paths of many shapes, as the tables have none: by the document's id.
+_SHAPES = ("tests/a{}.py", "src/latest{}.py", "lib/node_modules/x.js", "../up{}.go", "src/test_b.rs", "/abs/spec/c_spec.rb", "a/testing/x{}.tsx", "FooTest.java", "src/BarTests.cs", "pkg/x.spec.ts", "a/contest{}.mjs", "site-packages/q.pyi", "a/.nox/z{}.hpp", "b\\\\c.py", "C:/x.lua", "docs/readme.md", ".py", "a/b.GLEAM", "coverage/lcov.el", "src/out.cljc")
+_FAKE = "CASE doc_id % 20 " + " ".join(f"WHEN {k} THEN concat('" + x.replace("{}", "', doc_id, '") + "')" for k, x in enumerate(_SHAPES)) + " END"
+_FAKE_SQL = _FAKE.replace("\\\\", "\\")
+_PLACES = lambda *ks: ", ".join(map(str, ks))
 
 
 def _fake(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.expr(_FAKE).alias("path"))
 
 
-@query("exclude_tests", f"SELECT doc_id FROM (SELECT doc_id, {_FAKE} AS path FROM documents) WHERE doc_id % 6 IN (1, 2, 3)")
+@query("exclude_tests", f"SELECT doc_id FROM documents WHERE doc_id % 20 NOT IN ({_PLACES(0, 4, 5, 6, 7, 8, 9)})")
 def exclude_tests(spark, sf_dir):
     return _fake(spark, sf_dir).where(~T.is_test(F.col("path"))).select("doc_id")
 
 
-@query("is_test_hint", f"SELECT doc_id, regexp_matches(lower(path), 'test|spec') AS hint FROM (SELECT doc_id, {_FAKE} AS path FROM documents)")
+@query("is_test_hint", f"SELECT doc_id, doc_id % 20 IN ({_PLACES(0, 1, 4, 5, 6, 7, 8, 9, 10)}) AS hint FROM documents")
 def is_test_hint(spark, sf_dir):
-    return _fake(spark, sf_dir).select("doc_id", F.lower("path").rlike("test|spec").alias("hint"))
+    return _fake(spark, sf_dir).select("doc_id", T.test_hint(F.col("path")).alias("hint"))
 
 
-@query("ignored_paths", f"SELECT doc_id, contains(path, 'node_modules/') AS ignored FROM (SELECT doc_id, {_FAKE} AS path FROM documents)")
+@query("ignored_paths", f"SELECT doc_id, doc_id % 20 IN ({_PLACES(2, 11, 12, 18)}) AS ignored FROM documents")
 def ignored_paths(spark, sf_dir):
     return _fake(spark, sf_dir).select("doc_id", T.ignored(F.col("path")).alias("ignored"))
 
 
-@query("unsafe_paths", f"SELECT doc_id FROM (SELECT doc_id, {_FAKE} AS path FROM documents) WHERE path LIKE '/%' OR path LIKE '../%'")
+@query("unsafe_paths", f"SELECT doc_id % 20 AS shape, count(*) AS n FROM documents WHERE doc_id % 20 IN ({_PLACES(3, 5, 13, 14)}) GROUP BY shape")
 def unsafe_paths(spark, sf_dir):
-    return _fake(spark, sf_dir).where(T.unsafe(F.col("path"))).select("doc_id")
+    return _fake(spark, sf_dir).where(T.unsafe(F.col("path"))).groupBy((F.col("doc_id") % 20).alias("shape")).agg(F.count("*").alias("n"))
+
+
+_LANGS = {0: "python", 1: "python", 2: "javascript", 3: "go", 4: "rust", 5: "ruby", 6: "tsx", 7: "java", 8: "csharp", 9: "typescript", 10: "javascript", 11: "python", 12: "cpp", 13: "python", 14: "lua", 17: "gleam", 18: "elisp", 19: "clojure"}
 
 
-@query("lang_of_path", f"SELECT doc_id, CASE regexp_extract(path, '([.][^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.rb' THEN 'ruby' END AS lang FROM (SELECT doc_id, {_FAKE} AS path FROM documents)")
+@query("lang_of_path", "SELECT doc_id, CASE doc_id % 20 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _LANGS.items()) + " END AS lang FROM documents")
 def lang_of_path(spark, sf_dir):
     return _fake(spark, sf_dir).select("doc_id", T.language_of(F.col("path")).alias("lang"))
 
 
-@query("gitignore")
+_RULES = {"": ["# all", "*.rb", "/lib/", "!keep.rb"], "src": ["*.py", "!latest1*.py", "out.cljc"], "a": ["testing/", "**/.nox"]}
+
+
+@query("gitignore", "SELECT doc_id, CASE WHEN doc_id % 20 IN (2, 5, 6, 12, 19) THEN TRUE WHEN doc_id % 20 = 1 THEN NOT starts_with(doc_id::VARCHAR, '1') ELSE FALSE END AS ignored FROM documents")
 def gitignore(spark, sf_dir):
-    from quillmark.functions.gitignore import ignored_by
+    from quillmark.functions.gitignore import ignored_below
 
-    return _fake(spark, sf_dir).select("doc_id", ignored_by(F.col("path"), ["*.py", "!src/latest1*.py", "/lib/", "**/spec/"]).alias("ignored"))
+    return _fake(spark, sf_dir).select("doc_id", ignored_below(F.col("path"), _RULES).alias("ignored"))
 
 
 @query("read_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS text FROM documents")
 def read_slice(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("text", "\n", -1), 2, 2), "\n").alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", E.line_slice(F.col("text"), 1, 2).alias("text"))
 
 
 @query("around_line", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS text FROM documents WHERE len(string_split(text, chr(10))) >= 3")
 def around_line(spark, sf_dir):
-    a = F.split("text", "\n", -1)
-    return _docs(spark, sf_dir).where(F.size(a) >= 3).select("doc_id", F.array_join(F.slice(a, 2, 3), "\n").alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", E.around_line(F.col("text"), 2, 1, 1).alias("text")).where("text is not null")
 
 
-@query("body_slice", "SELECT doc_id, substr(string_split(text, chr(10))[1], 4) || chr(10) || substr(string_split(text, chr(10))[2], 1, 6) AS body FROM documents WHERE contains(text, chr(10))")
+@query("body_slice", "SELECT doc_id, substr(a[1], 4) || chr(10) || CASE WHEN len(a) > 2 THEN a[2] || chr(10) || substr(a[3], 1, 6) ELSE substr(a[2], 1, 6) END AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) WHERE len(a) > 1")
 def body_slice(spark, sf_dir):
-    a = F.split("text", "\n", -1)
-    return _docs(spark, sf_dir).where(F.contains("text", F.lit("\n"))).select("doc_id", F.concat(F.substr(a[0], F.lit(4)), F.lit("\n"), F.substring(a[1], 1, 6)).alias("body"))
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(E.body_span(t, 0, 3, 2, 6), E.body_span(t, 0, 3, 1, 6)).alias("body")).where("body is not null")
 
 
-@query("text_coords", f"SELECT doc_id, min((k, strpos(line, 'the ') - 1))[1] AS line_no, min((k, strpos(line, 'the ') - 1))[2]::BIGINT AS col FROM ({LINES}) WHERE contains(line, 'the ') GROUP BY doc_id")
+@query("text_coords", f"SELECT doc_id, min((k, p))[1] AS line_no, min((k, p))[2]::BIGINT AS col FROM (SELECT doc_id, k, length(regexp_extract(line, '^(.*?)th[ae] [a-z]+ing', 1)) + 4 AS p FROM ({LINES}) WHERE regexp_matches(line, 'th[ae] [a-z]+ing')) GROUP BY doc_id")
 def text_coords(spark, sf_dir):
-    from quillmark.operators.scan import lines
-
-    first = F.min(F.struct("k", (F.instr("line", "the ") - 1).alias("col")))
-    return lines(_docs(spark, sf_dir)).where(F.contains("line", F.lit("the "))).groupBy("doc_id").agg(first.alias("f")).select("doc_id", F.col("f.k").cast("long").alias("line_no"), F.col("f.col").cast("long").alias("col"))
+    at = E.first_match(F.col("text"), "th[ae] ([a-z]+ing)")
+    return _docs(spark, sf_dir).select("doc_id", at.alias("at")).where("at is not null").select("doc_id", F.col("at.line").alias("line_no"), F.col("at.col").cast("long").alias("col"))
 
 
 @query("line_edits", "SELECT doc_id, md5(array_to_string(list_concat(a[1:1], ['inserted'], a[4:]), chr(10))) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) WHERE len(a) >= 4")
 def line_edits(spark, sf_dir):
-    from quillmark.functions.edits import delete_lines, insert_at_line
-
     a = F.split("text", "\n", -1)
-    return _docs(spark, sf_dir).where(F.size(a) >= 4).select("doc_id", F.md5(insert_at_line(delete_lines(F.col("text"), 1, 2), 1, "inserted").cast("binary")).alias("text"))
+    return _docs(spark, sf_dir).where(F.size(a) >= 4).select("doc_id", F.md5(E.insert_at_line(E.delete_lines(F.col("text"), 1, 2), 1, "inserted").cast("binary")).alias("text"))
+
+
+_SYMBOL_EDITS = "SELECT doc_id, md5(array_to_string(list_concat(a[1:2], ['', 'def new(): pass'], a[3:]), chr(10))) AS after, md5(array_to_string(list_concat(a[1:1], ['def new(): pass', ''], a[2:]), chr(10))) AS before, md5(substr(a[1], 1, 2) || substr(a[2], 5) || CASE WHEN len(a) > 2 THEN chr(10) || array_to_string(a[3:], chr(10)) ELSE '' END) AS gone FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) WHERE len(a) >= 3"
+
+
+@query("symbol_edits", _SYMBOL_EDITS)
+def symbol_edits(spark, sf_dir):
+    a, t, new = F.split("text", "\n", -1), F.col("text"), "def new(): pass\n"
+    digest = lambda c: F.md5(c.cast("binary"))
+    rows = _docs(spark, sf_dir).where(F.size(a) >= 3)
+    return rows.select("doc_id", digest(E.insert_after_symbol(t, 1, new)).alias("after"), digest(E.insert_before_symbol(t, 1, new)).alias("before"), digest(E.delete_symbol(t, 0, 2, 1, 4)).alias("gone"))
+
+
+@query("replace_regex", "SELECT doc_id, CASE WHEN n = 1 THEN md5(regexp_replace(text, 'th([aeiou])nd ([a-z]+)', '\\2-\\1$', 'g')) END AS text, n, CASE WHEN n = 0 THEN 'no match' WHEN n > 1 THEN n || ' matches' END AS error FROM (SELECT *, len(regexp_extract_all(text, 'th([aeiou])nd ([a-z]+)'))::BIGINT AS n FROM documents)")
+def replace_regex(spark, sf_dir):
+    new, n, error = E.replaced(F.col("text"), "th([aeiou])nd ([a-z]+)", "$!2-$!1$")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(new.cast("binary")).alias("text"), n.cast("long").alias("n"), error.alias("error"))
 
 
 @query("replace_guarded", "SELECT doc_id, CASE WHEN n = 1 THEN md5(replace(text, ' with and ', ' WITH ')) END AS text, n FROM (SELECT *, ((length(text) - length(replace(text, ' with and ', ''))) // 10)::BIGINT AS n FROM documents)")
@@ -166,16 +197,20 @@ def replace_guarded(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(new.cast("binary")).alias("text"), n.alias("n"))
 
 
-@query("splice_body")
+@query("splice_body", "SELECT doc_id, md5(substr(a[1], 1, 2) || 'NEW' || substr(a[1], 6) || CASE WHEN len(a) > 1 THEN chr(10) || array_to_string(a[2:], chr(10)) ELSE '' END) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)")
 def splice_body(spark, sf_dir):
-    from quillmark.functions.edits import replace_span
+    return _docs(spark, sf_dir).select("doc_id", F.md5(E.replace_body(F.col("text"), 0, 2, 0, 5, " NEW\n").cast("binary")).alias("text"))
 
-    return _docs(spark, sf_dir).select("doc_id", F.md5(replace_span(F.col("text"), 0, 2, 0, 5, "NEW").cast("binary")).alias("text"))
 
+#: Messages with trailers, as the tables have none.
+_MESSAGE = "concat(split(text, '\n')[0], '\n\n\n\nmore\n', CASE doc_id % 4 WHEN 0 THEN 'Co-authored-by: Codex <x@example.com>' WHEN 1 THEN 'Co-authored-by: A Person <x@example.com>' WHEN 2 THEN '  Generated with Copilot, in part' ELSE '' END, '\nlast\n')"
 
-@query("sanitize_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)th', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents")
+
+@query("sanitize_text", "SELECT doc_id, md5(regexp_replace(string_split(text, chr(10))[1], '^\\s+', '') || chr(10) || chr(10) || 'more' || CASE doc_id % 4 WHEN 1 THEN chr(10) || 'Co-authored-by: A Person <x@example.com>' || chr(10) ELSE chr(10) || chr(10) END || 'last' || chr(10)) AS text FROM documents WHERE regexp_matches(string_split(text, chr(10))[1], '\\S') AND NOT regexp_matches(string_split(text, chr(10))[1], '(?i)generated (by|with)')")
 def sanitize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace(F.regexp_replace("text", "(?i)th", ""), r"\n{3,}", "\n\n").cast("binary")).alias("text"))
+    first = F.split("text", "\n", -1)[0]
+    rows = _docs(spark, sf_dir).where(first.rlike(r"\S") & ~first.rlike("(?i)generated (by|with)"))
+    return rows.select("doc_id", F.md5(git.sanitized(F.expr(_MESSAGE)).cast("binary")).alias("text"))
 
 
 @query("slug", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
@@ -183,54 +218,112 @@ def slug(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-@query("render_html")
+_CLEAN = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<(script|style|template)[^>]*>.*?</(script|style|template)>|<![^>]*>', '', 'g'), '<[^>]*>', chr(1), 'g')"
+_PARTS = f"list_filter(list_transform(string_split({_CLEAN}, chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("render_html", f"SELECT page_id, md5(array_to_string({_PARTS}, ' ')) AS text FROM pages")
 def render(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", render_html(F.col("html")).alias("text"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(render_html(F.col("html")).cast("binary")).alias("text"))
 
 
-@query("json_out")
+@query("json_out", "SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS json FROM documents")
 def json_out(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.to_json(F.struct("doc_id", "lang", "source")).alias("json"))
 
 
-@query("snippet_text", "SELECT item_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ' ') AS signature FROM benchmark")
+@query("snippet_text", "SELECT item_id, md5(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ' ') || chr(10) || chr(10) || substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1800)) AS text FROM benchmark")
 def snippet_text(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.trim(F.get(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), F.lit(0))).alias("signature"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.md5(T.snippet_text(F.col("text")).cast("binary")).alias("text"))
+
 
+_SIGNATURES = ("class Own(pkg.Base{}, Other{}):", "public final class Own extends Base{} implements java.util.List<T> {{ class Inner", "struct Own : public Base{}, private b.Side", "impl Trait{} for Thing {{", "interface Own", "data class Own(val x: Int) : Base{}(x)")
+_BASES = ("Base{0},Other{0}", "Base{0},List,T", "Base{0},Side", "Trait{0},Thing", "", "x,Int,Base{0}")
 
-@query("base_types", "SELECT doc_id, array_to_string(list_filter(['Base' || doc_id, lang], lambda x: x <> 'Own'), ',') AS bases FROM documents")
+
+@query("base_types", "SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN concat('" + x.replace("{0}", "', doc_id, '") + "')" for k, x in enumerate(_BASES)) + " END AS bases FROM documents")
 def base_types(spark, sf_dir):
-    sig = F.concat(F.lit("class Own(pkg.Base"), F.col("doc_id").cast("string"), F.lit(", "), F.col("lang"), F.lit(") { extends Other"))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.base_names(F.lit("Own"), sig), ",").alias("bases"))
+    shapes = F.expr("CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN concat('" + x.replace("{{", "{").replace("{}", "', doc_id, '") + "')" for k, x in enumerate(_SIGNATURES)) + " END")
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.base_names(F.lit("Own"), shapes), ",").alias("bases"))
 
 
-@query("type_hierarchy", "SELECT DISTINCT 'T' || (doc_id % 40) AS name, 'T' || (doc_id % 7) AS super FROM documents WHERE doc_id % 40 <> doc_id % 7")
+@query("type_hierarchy", "SELECT DISTINCT 'super' AS side, 'T' || (doc_id % 7) AS name FROM documents WHERE doc_id % 40 = 9 AND doc_id % 7 <> 9 UNION SELECT DISTINCT 'sub', 'T' || (doc_id % 40) FROM documents WHERE doc_id % 7 = 3 AND doc_id % 40 <> 3 UNION SELECT DISTINCT 'super', 'T' || (doc_id % 7) FROM documents WHERE doc_id % 40 = 3 AND doc_id % 7 <> 3")
 def type_hierarchy(spark, sf_dir):
+    from quillmark.operators.graph import type_hierarchy as of
+
     name = F.concat(F.lit("T"), (F.col("doc_id") % 40).cast("string"))
-    types = _docs(spark, sf_dir).select(name.alias("name"), F.concat(F.lit("class "), name, F.lit("(T"), (F.col("doc_id") % 7).cast("string"), F.lit("):")).alias("signature"))
-    pairs = types.select("name", F.explode(T.base_names(F.col("name"), F.col("signature"))).alias("super")).distinct()
-    return pairs.join(types.select(F.col("name").alias("super")).distinct(), "super", "left_semi").select("name", "super")
+    types = _docs(spark, sf_dir).select(name.alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.concat(F.lit("class "), name, F.lit("(T"), (F.col("doc_id") % 7).cast("string"), F.lit("):")).alias("signature"))
+    nine = of(types, "T9").where("side = 'super'").select("side", "name")
+    three = of(types, "T3").where("side <> 'item'").select("side", "name")
+    return nine.unionByName(three).distinct()
 
 
-@query("changelog", f"SELECT CASE WHEN regexp_matches(line, '^[Tt]h') THEN 'feat' WHEN regexp_matches(line, '^[Aa]n') THEN 'fix' ELSE 'other' END AS section, count(*) AS n FROM ({LINES}) GROUP BY section")
+#: Commit subjects, as the tables have none: a type by the document's id and its first line.
+_TYPES = ("feat: ", "fix(core): ", "Perf!: ", "refactor(a, b)!: ", "docs:", "test: ", "build: ", "ci: ", "chore: ", "wip: ", "", "feat ")
+_SECTIONS = ("Features", "Fixes", "Performance", "Refactoring", "Documentation", "Tests", "Build", "CI", "Chores", "Other", "Other", "Other")
+_LOG = "log AS (SELECT doc_id % 12 AS t, doc_id, regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z ]', '', 'g') AS line FROM documents)"
+
+
+def _subjects(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (F.col("doc_id") % 12 + 1).cast("int"))
+    line = F.regexp_replace(F.split("text", "\n", -1)[0], "[^A-Za-z ]", "")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("k"), F.concat(kind, line).alias("subject"))
+
+
+_ENTRY = "CASE WHEN t IN (9, 10, 11) THEN CASE t " + " ".join(f"WHEN {k} THEN '{_TYPES[k]}'" for k in (9, 10, 11)) + " END || line ELSE regexp_replace(line, '^\\s+', '') END"
+
+
+@query("changelog", f"WITH {_LOG} SELECT section, md5(string_agg(entry, chr(10) ORDER BY doc_id)) AS entries, count(*) AS n FROM (SELECT doc_id, CASE t " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SECTIONS)) + f" END AS section, {_ENTRY} AS entry FROM log) GROUP BY section")
 def changelog(spark, sf_dir):
-    from quillmark.operators.scan import lines
+    log = git.changelog(_subjects(spark, sf_dir))
+    return log.select("section", F.md5(F.array_join("entries", "\n").cast("binary")).alias("entries"), F.size("entries").cast("long").alias("n"))
 
-    section = F.when(F.col("line").rlike("^[Tt]h"), "feat").when(F.col("line").rlike("^[Aa]n"), "fix").otherwise("other")
-    return lines(_docs(spark, sf_dir)).groupBy(section.alias("section")).agg(F.count("*").alias("n"))
 
+@query("git_status", "SELECT doc_id AS repo, 'M' AS status, 'a' || doc_id AS path, NULL AS original_path FROM documents UNION ALL SELECT doc_id, 'R', 'new' || doc_id, 'R  old' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'D', 'gone', NULL FROM documents UNION ALL SELECT doc_id, '??', 'x y', NULL FROM documents UNION ALL SELECT doc_id, '!!', 'z', NULL FROM documents")
+def git_status(spark, sf_dir):
+    return git.status_entries(_statuses(spark, sf_dir)).select("repo", "status", "path", "original_path")
 
-@query("test_summary", "SELECT event_id, (event_id % 9)::INT AS passed, (event_id % 4)::INT AS failed FROM events")
+
+def _statuses(spark, sf_dir):
+    """One status for each document, as the tables have none."""
+    i = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit(" M a"), i, F.lit("\0"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("R  new"), i, F.lit("\0R  old\0"))).otherwise(""), F.lit(" D gone\0?? x y\0!! z\0"))
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("repo"), raw.alias("status"))
+
+
+#: Outputs of test runs, as the tables have none.
+_RUN = "CASE event_id % 3 WHEN 0 THEN concat('=== ', event_id % 4, ' failed, ', event_id % 9, ' passed, ', event_id % 5, ' errors in 1.2s ===') WHEN 1 THEN concat('running\ntest result: ok. ', event_id % 9, ' passed; ', event_id % 4, ' failed; 0 ignored') ELSE concat(repeat('--- PASS: T (0.0s)\n', CAST(event_id % 9 AS INT)), repeat('--- FAIL: T (0.0s)\n', CAST(event_id % 4 AS INT)), 'FAIL') END"
+
+
+@query("test_summary", "SELECT event_id, event_id % 9 AS passed, event_id % 4 AS failed, CASE WHEN event_id % 3 = 0 THEN event_id % 5 END AS error FROM events")
 def test_summary(spark, sf_dir):
-    line = F.concat(F.lit("=== "), (F.col("event_id") % 4).cast("string"), F.lit(" failed, "), (F.col("event_id") % 9).cast("string"), F.lit(" passed in 1.2s ==="))
-    get = lambda w: F.regexp_extract(line, rf"(\d+) {w}", 1).cast("int").alias(w)
-    return _t(spark, sf_dir, "events").select("event_id", get("passed"), get("failed"))
+    framework = F.element_at(F.array(F.lit("pytest"), F.lit("cargo"), F.lit("go")), (F.col("event_id") % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("event_id", testruns.summary(framework, F.expr(_RUN)).alias("s")).select("event_id", "s.passed", "s.failed", "s.error")
+
+
+#: Marker files by the document's id: its root's files, their contents, and what they tell.
+_MARKERS = (
+    (("pyproject.toml", "[tool.pytest]"), ("Cargo.toml", "")), (("conftest.py", ""), ("go.mod", "")), (("gradlew", ""), ("pom.xml", "")), (("build.gradle.kts", ""),), (("mvnw", ""), ("package.json", "{}")), (("pom.xml", ""),),
+    (("package.json", '{"scripts": {"test": "jest"}}'), ("yarn.lock", "")), (("package.json", '{"scripts": {"test": " "}}'), ("Cargo.toml", "")), (("package.json", '{"scripts": {"test": "x"}}'),), (("go.mod", ""),), (("tests/a/test_x.py", ""),), (("test/readme.md", ""),),
+)
+_FOUND = ("pytest", "pytest", "gradle", "gradle", "maven", "maven", "node:yarn", "cargo", "node:npm", "go", "pytest", None)
 
 
-@query("detect_rule", with_corpus("SELECT path, CASE WHEN path LIKE 'src1/%' THEN 'pytest' WHEN path LIKE '%/de/%' THEN 'cargo' ELSE NULL END AS rule FROM files"))
+@query("detect_rule", "SELECT doc_id AS root, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_FOUND) if x) + " END AS framework FROM documents")
 def detect_rule(spark, sf_dir):
-    rules = {r"^src1/": "pytest", "/de/": "cargo"}
-    return _c(spark, sf_dir).files.select("path", F.coalesce(*[F.when(F.col("path").rlike(r), v) for r, v in rules.items()]).alias("rule"))
+    sets = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in m]) for m in _MARKERS])
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("root"), F.inline(F.element_at(sets, (F.col("doc_id") % 12 + 1).cast("int"))))
+    return testruns.detect(rows).select("root", "framework")
+
+
+@query("extract_python", "SELECT doc_id, 'class' AS kind, 'C' || doc_id AS name, 1 AS start_line, 3 AS end_line FROM documents UNION ALL SELECT doc_id, 'function', 'm' || (doc_id % 5), 2, 3 FROM documents UNION ALL SELECT doc_id, 'constant', 'LIMIT', 5, 5 FROM documents UNION ALL SELECT doc_id, 'call', 'helper' || (doc_id % 7), 3, 15 FROM documents")
+def extract_python(spark, sf_dir):
+    i, part = F.col("doc_id").cast("string"), lambda n: (F.col("doc_id") % n).cast("string")
+    source = F.concat(F.lit("class C"), i, F.lit("(Base):\n    def m"), part(5), F.lit("(self):\n        return helper"), part(7), F.lit("()\n\nLIMIT = 3\n"))
+    rows = _docs(spark, sf_dir).select(F.concat(i, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), source.alias("content"))
+    symbols, refs = code.extract(rows)
+    doc = F.regexp_replace("path", "[.]py$", "").cast("long").alias("doc_id")
+    return symbols.select(doc, "kind", "name", "start_line", "end_line").unionByName(refs.select(doc, F.lit("call").alias("kind"), "name", F.col("line").alias("start_line"), F.col("col").alias("end_line")))
 
 
 @query("tool_stats", "SELECT role AS tool, count(*) AS calls, sum(length(text) // 4)::BIGINT AS input_tokens, sum(length(role) // 4)::BIGINT AS output_tokens FROM conversations GROUP BY role")
@@ -253,22 +346,20 @@ def latest_generation(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.max("event_id").alias("generation"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("progress", "SELECT label, count(*) AS done, round(least(100.0::DOUBLE, 100.0::DOUBLE * count(*) / 60), 1) AS percent FROM embeddings GROUP BY label")
+@query("progress", "SELECT label, count(*) AS done, round(least(100.0::DOUBLE, 100.0::DOUBLE * count(*) / 60), 1) AS percent, round(greatest(0.0::DOUBLE, 30.0::DOUBLE * (60 - count(*)) / count(*)), 1) AS eta FROM embeddings GROUP BY label")
 def progress(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("done"), F.round(F.least(F.lit(100.0), 100.0 * F.count("*") / 60), 1).alias("percent"))
+    done = _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("done"))
+    return done.select("label", "done", runs.percent(F.col("done"), F.lit(60)).alias("percent"), runs.seconds_left(F.col("done"), F.lit(60), F.lit(30.0)).alias("eta"))
 
 
-@query("health", "SELECT count(*) AS docs, count(*) FILTER (WHERE vec_id IS NULL) AS missing, CASE WHEN count(*) FILTER (WHERE vec_id IS NULL) > 0 THEN 'embed' ELSE '' END AS advice FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+@query("health", "SELECT (SELECT count(*) FROM documents) AS symbols, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing, FALSE AS semantic, 'hashed,' || CASE WHEN (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) > 0 THEN 'backfill,' ELSE '' END || 'head' AS advice")
 def health(spark, sf_dir):
-    both = _docs(spark, sf_dir).select("doc_id").join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has")), "doc_id", "left")
-    rows = both.agg(F.count("*").alias("docs"), F.sum(F.col("has").isNull().cast("long")).alias("missing"))
-    return rows.select("docs", "missing", F.array_join(F.array_compact(F.array(F.when(F.col("missing") > 0, "embed"))), ",").alias("advice"))
+    return A.health(_docs(spark, sf_dir).select(F.col("doc_id").alias("id")), _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "digest-64", moved=True)
 
 
-@query("group_nested")
+@query("group_nested", """SELECT '{' || string_agg('"' || lang || '":' || inner_, ',' ORDER BY lang) || '}' AS grouped FROM (SELECT lang, '{' || string_agg('"' || source || '":' || items, ',' ORDER BY source) || '}' AS inner_ FROM (SELECT lang, source, '[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']' AS items FROM documents GROUP BY lang, source) GROUP BY lang)""")
 def group_nested(spark, sf_dir):
-    inner = _docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return inner.groupBy("lang").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n"))))).alias("by_source"))
+    return A.nested(_docs(spark, sf_dir).select("lang", "source", F.struct("doc_id").alias("item")), ["lang", "source"], "item")
 
 
 @query("burst_counter", """WITH a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 1000 OR event_type = 'purchase' THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -277,7 +368,18 @@ def burst_counter(spark, sf_dir):
     return A.bursts(_t(spark, sf_dir, "events"), "user_id", 1000.0, F.col("event_type") == "purchase").select("event_id", F.col("burst").cast("long").alias("burst"))
 
 
-@query("burst_denials")
+#: A state machine over each user's events, one step a recursion.
+_BURSTS = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch(ts)::DOUBLE AS tm, CASE event_type WHEN 'search' THEN 's' WHEN 'view' THEN 'v' WHEN 'click' THEN 'r' ELSE '' END AS kind, event_type = 'purchase' AS symbolic, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 0 AS cs, 0 AS cv, 0 AS cr, -1e18::DOUBLE AS ls, -1e18::DOUBLE AS lv, -1e18::DOUBLE AS lr, -1e18::DOUBLE AS quiet, FALSE AS denied FROM e WHERE k = 1
+ UNION ALL
+ SELECT user_id, k, event_id, CASE WHEN symbolic OR no THEN 0 ELSE ns END, CASE WHEN symbolic OR no THEN 0 ELSE nv END, CASE WHEN symbolic OR no THEN 0 ELSE nr END, CASE WHEN counted AND kind = 's' THEN tm ELSE ls END, CASE WHEN counted AND kind = 'v' THEN tm ELSE lv END, CASE WHEN counted AND kind = 'r' THEN tm ELSE lr END, CASE WHEN no THEN tm + 120 ELSE quiet END, no
+ FROM (SELECT *, counted AND (kind = 's' AND ns >= 3 OR kind = 'v' AND nv >= 4 OR kind = 'r' AND nr >= 3) AS no
+  FROM (SELECT *, CASE WHEN counted AND kind = 's' THEN CASE WHEN tm - ls > 1000 THEN 1 ELSE cs + 1 END ELSE cs END AS ns, CASE WHEN counted AND kind = 'v' THEN CASE WHEN tm - lv > 2000 THEN 1 ELSE cv + 1 END ELSE cv END AS nv, CASE WHEN counted AND kind = 'r' THEN CASE WHEN tm - lr > 1000 THEN 1 ELSE cr + 1 END ELSE cr END AS nr
+   FROM (SELECT e.user_id, e.k, e.event_id, e.tm, e.kind, e.symbolic, m.cs, m.cv, m.cr, m.ls, m.lv, m.lr, m.quiet, NOT e.symbolic AND e.kind <> '' AND e.tm >= m.quiet AS counted FROM m JOIN e ON e.user_id = m.user_id AND e.k = m.k + 1))))
+SELECT user_id, event_id, denied FROM m WHERE k > 0"""
+
+
+@query("burst_denials", _BURSTS)
 def burst_denials(spark, sf_dir):
     return incremental.burst_denials(_t(spark, sf_dir, "events"))
 
@@ -305,15 +407,15 @@ def diag_filter(spark, sf_dir):
     return _diags(spark, sf_dir).where("severity <= 2 AND line BETWEEN 10 AND 20").select("path", "line", "message")
 
 
-@query("diag_counts", f"WITH {DIAGS} SELECT path, count(*) FILTER (WHERE severity = 1) AS s1, count(*) FILTER (WHERE severity = 2) AS s2, count(*) FILTER (WHERE severity = 3) AS s3, count(*) FILTER (WHERE severity = 4) AS s4 FROM diags GROUP BY path")
+@query("diag_counts", f"WITH {DIAGS} SELECT path, count(*) FILTER (WHERE severity = 1) AS s1, count(*) FILTER (WHERE severity = 2) AS s2, count(*) FILTER (WHERE severity = 3) AS s3, count(*) FILTER (WHERE severity = 4) AS s4, md5(string_agg(line || ':' || severity || ':' || message, ' ' ORDER BY line, severity, message)) AS problems FROM diags GROUP BY path")
 def diag_counts(spark, sf_dir):
-    n = _diags(spark, sf_dir).groupBy("path").pivot("severity", [1, 2, 3, 4]).count().fillna(0)
-    return n.select("path", *(F.col(str(k)).alias(f"s{k}") for k in (1, 2, 3, 4)))
+    out = A.by_severity(_diags(spark, sf_dir))
+    return out.withColumn("problems", F.md5(F.array_join("problems", " ").cast("binary")))
 
 
-@query("diag_sweep", f"WITH {DIAGS} SELECT path, line, message FROM (SELECT * FROM diags WHERE path IN (SELECT DISTINCT path FROM diags ORDER BY path LIMIT 10)) ORDER BY path, line, message LIMIT 200")
+@query("diag_sweep", f"WITH {DIAGS} SELECT path, line, message, (SELECT count(*) FROM diags) > 200 AS truncated FROM (SELECT * FROM diags WHERE path IN (SELECT DISTINCT path FROM diags ORDER BY path LIMIT 10) ORDER BY path, line, message LIMIT 200)")
 def diag_sweep(spark, sf_dir):
-    return tree.sweep(_diags(spark, sf_dir), 10, 200).select("path", "line", "message")
+    return tree.sweep(_diags(spark, sf_dir), 10, 200).select("path", "line", "message", "truncated")
 
 
 @query("diag_diff", f"WITH {DIAGS} SELECT DISTINCT path, line, severity, message FROM diags WHERE severity < 4 EXCEPT SELECT path, line, severity, message FROM diags WHERE line % 2 = 0")
@@ -322,11 +424,18 @@ def diag_diff(spark, sf_dir):
     return difference(d.where("severity < 4"), d.where("line % 2 = 0"))
 
 
-@query("diag_owner", with_corpus("SELECT d.path, d.line, o.owner_id FROM (SELECT DISTINCT path, (n % 20) + 1 AS line FROM (SELECT path, size AS n FROM files)) d LEFT JOIN owners o ON d.path = o.path AND d.line = o.line"))
+@query("diag_owner", with_corpus(f"SELECT d.path, d.line, CASE WHEN s.kind = 'block' AND length(s.name) <= 4 THEN s.id // {ID_STEP} * {ID_STEP} ELSE s.id END AS owner_id FROM (SELECT DISTINCT path, (n % 20) + 1 AS line FROM (SELECT path, size AS n FROM files)) d LEFT JOIN owners o ON d.path = o.path AND d.line = o.line LEFT JOIN symbols s ON s.id = o.owner_id"))
 def diag_owner(spark, sf_dir):
+    """The innermost symbol of a diagnostic's line, or, where that is a low-level one (here: a block of a short name), its nearest
+    ancestor that isn't."""
     c = _c(spark, sf_dir)
     points = c.files.select("path", (F.col("size") % 20 + 1).alias("line")).distinct()
-    return owner_of(points, c.heads)
+    own = owner_of(points, c.heads).withColumn("key", F.struct("path", "line"))
+    document = (F.floor(F.col("id") / ID_STEP) * ID_STEP).cast("long")
+    parents = c.heads.select("id", F.when(F.col("kind") == "block", document).alias("parent_id"), "kind", F.length("name").alias("size"))
+    up = climb(own.where("owner_id is not null").select("key", F.col("owner_id").alias("id")), parents, (F.col("kind") == "block") & (F.col("size") <= 4))
+    found = up.select("key.path", "key.line", F.col("id").alias("owner_id"))
+    return found.unionByName(own.where("owner_id is null").select("path", "line", "owner_id"))
 
 
 @query("symbol_diags", with_corpus("SELECT s.id, count(*) AS n FROM symbols s JOIN (SELECT path, (size % 20) + 1 AS line FROM files) d ON s.path = d.path AND d.line BETWEEN s.start_line AND s.end_line GROUP BY s.id"))
@@ -337,11 +446,13 @@ def symbol_diags(spark, sf_dir):
     return spread.join(d, ["path", "line"]).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("lsp_containers", with_corpus("SELECT path, line, arg_max(id, (start_line, id)) AS container FROM (SELECT id, path, start_line, unnest(range(start_line, end_line + 1)) AS line FROM symbols) WHERE line % 5 = 3 GROUP BY path, line"))
+@query("lsp_containers", with_corpus(f"SELECT l.path, l.lineno AS line, coalesce(arg_max(s.id, (s.start_line, s.id)), l.doc_id * {ID_STEP}) AS container FROM lines l LEFT JOIN (SELECT id, path, start_line, unnest(range(start_line, end_line + 1)) AS line FROM symbols WHERE kind = 'block' AND end_line > start_line) s ON s.path = l.path AND s.line = l.lineno GROUP BY l.path, l.lineno, l.doc_id"))
 def lsp_containers(spark, sf_dir):
+    """Every line's container: of the symbols of several lines and a containing kind the one that starts last, else the file's."""
     c = _c(spark, sf_dir)
-    points = c.lines.where("lineno % 5 = 3").select("path", F.col("lineno").alias("line"))
-    return owner_of(points, c.heads, order=[-F.col("start_line"), -F.col("id")]).select("path", F.col("line").cast("long").alias("line"), F.col("owner_id").alias("container"))
+    points = c.lines.select("doc_id", "path", F.col("lineno").alias("line"))
+    inner = owner_of(points, c.heads.where("kind = 'block' AND end_line > start_line"), order=[-F.col("start_line"), -F.col("id")])
+    return inner.select("path", F.col("line").cast("long").alias("line"), F.coalesce("owner_id", F.col("doc_id") * ID_STEP).alias("container"))
 
 
 @query("overload_idx", with_corpus("SELECT id, CASE WHEN count(*) OVER (PARTITION BY path, name) > 1 THEN row_number() OVER (PARTITION BY path, name ORDER BY start_line, id) - 1 END AS overload_idx FROM symbols"))
@@ -349,20 +460,42 @@ def overload_idx(spark, sf_dir):
     return tree.overloads(_c(spark, sf_dir).heads, "path", "name", ["start_line", "id"]).select("id", F.col("overload_idx").cast("long").alias("overload_idx"))
 
 
-@query("symbol_tree", with_corpus("SELECT DISTINCT path AS node, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS parent, 'file' AS kind FROM files UNION SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2], string_split(path, '/')[1], 'package' FROM files UNION SELECT string_split(path, '/')[1], NULL, 'package' FROM files"))
+@query("symbol_tree", with_corpus(f"SELECT DISTINCT path AS node, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS parent, 'file' AS kind FROM files UNION SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2], string_split(path, '/')[1], 'package' FROM files UNION SELECT string_split(path, '/')[1], NULL, 'package' FROM files UNION ALL SELECT path || '#' || id, CASE WHEN kind = 'block' THEN path || '#' || (id // {ID_STEP} * {ID_STEP}) ELSE path END, kind FROM symbols"))
 def symbol_tree(spark, sf_dir):
-    return tree.path_nodes(_c(spark, sf_dir).files).select("node", "parent", "kind")
+    c = _c(spark, sf_dir)
+    document = (F.floor(F.col("id") / ID_STEP) * ID_STEP).cast("long")
+    symbols = c.heads.select("id", "path", "kind", F.when(F.col("kind") == "block", document).alias("parent_id"))
+    return tree.symbol_nodes(c.files, symbols).select("node", "parent", "kind")
+
+
+def _named(c):
+    """The model's symbols with their name paths: a block is below its document, beside others of its name."""
+    blocks = tree.overloads(c.heads.where("kind = 'block'"), "path", "name", ["start_line", "id"])
+    outer = F.concat(F.lit("doc_"), F.floor(F.col("id") / ID_STEP).cast("string"))
+    none = F.lit(None).cast("int")
+    inner = blocks.select("id", "path", "kind", "start_line", F.array(outer, "name").alias("names"), F.array(none, F.col("overload_idx").cast("int")).alias("overloads"))
+    return inner.unionByName(c.heads.where("kind = 'document'").select("id", "path", "kind", "start_line", F.array("name").alias("names"), F.array(none).alias("overloads")))
 
 
-@query("find_symbol", with_corpus("SELECT id FROM symbols WHERE kind = 'block' AND contains(name, 'tion') AND path LIKE 'src1/%'"))
+_NAMED = "named AS (SELECT id, path, kind, start_line, 'doc_' || (id // " + str(ID_STEP) + ") AS outer_, name, CASE WHEN count(*) OVER (PARTITION BY path, name) > 1 THEN row_number() OVER (PARTITION BY path, name ORDER BY start_line, id) - 1 END AS idx FROM symbols WHERE kind = 'block')"
+
+
+@query("find_symbol", with_corpus("SELECT id, 'any' AS asked FROM named WHERE contains(name, 'tion') AND path LIKE 'src1/%' UNION ALL SELECT id, 'second' FROM named WHERE name = 'the' AND idx = 1 UNION ALL SELECT id, 'below' FROM named WHERE outer_ = 'doc_7' AND name = 'the' UNION ALL SELECT id, 'file' FROM symbols WHERE kind = 'document' AND contains(name, '_77')", _NAMED))
 def find_symbol(spark, sf_dir):
-    path = F.array(F.regexp_replace("path", "/.*$", ""), F.col("name"))
-    return _c(spark, sf_dir).heads.where((F.col("kind") == "block") & tree.matches_name_path(path, "src1/tion", True)).select("id")
+    rows = _named(_c(spark, sf_dir))
+    asked = {"any": tree.find(rows, "tion", include=("block",), substring=True, within="src1"), "second": tree.find(rows, "the[1]"), "below": tree.find(rows, "/doc_7/the"), "file": tree.find(rows, "_77", exclude=("block",), substring=True)}
+    out = [x.select("id", F.lit(k).alias("asked")) for k, x in asked.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("find_unique", with_corpus("SELECT min(id) AS id, count(*) AS n FROM symbols WHERE name = 'doc_7'"))
+@query("find_unique", with_corpus("SELECT id, path, kind FROM symbols WHERE name = 'doc_7'"))
 def find_unique(spark, sf_dir):
-    return _c(spark, sf_dir).heads.where(tree.matches_name_path(F.array("path", "name"), "doc_7")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return tree.find_unique(_named(_c(spark, sf_dir)), "doc_7").select("id", "path", "kind")
+
+
+@query("find_by_location", with_corpus("SELECT id, name FROM symbols WHERE path = 'src1/en/doc_1.txt' AND start_line = 6"))
+def find_by_location(spark, sf_dir):
+    return tree.at_location(_c(spark, sf_dir).heads, "src1/en/doc_1.txt", 6).select("id", "name")
 
 
 @query("overview", with_corpus("SELECT path, count(*) AS n, min(name) AS first_name FROM symbols WHERE kind = 'block' AND start_line <= 11 GROUP BY path"))
@@ -412,9 +545,9 @@ def prune_paths(spark, sf_dir):
     return f.select("path").join(f.where("size % 5 <> 0").select("path"), "path", "left_anti")
 
 
-@query("change_split", "SELECT CASE WHEN doc_id % 4 = 0 THEN 'deleted' ELSE 'changed' END AS side, count(*) AS n FROM documents GROUP BY side")
+@query("change_split", "SELECT doc_id AS repo, 'a' || doc_id AS path, 'changed' AS side FROM documents UNION ALL SELECT doc_id, 'new' || doc_id, 'changed' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'gone', 'deleted' FROM documents UNION ALL SELECT doc_id, 'x y', 'changed' FROM documents")
 def change_split(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy(F.when(F.col("doc_id") % 4 == 0, "deleted").otherwise("changed").alias("side")).agg(F.count("*").alias("n"))
+    return git.changed_and_deleted(git.status_entries(_statuses(spark, sf_dir)))
 
 
 @query("incremental_report", with_corpus("SELECT path, CASE WHEN size % 3 = 0 THEN 'removed' WHEN size % 3 = 1 THEN 'changed' WHEN size % 7 = 0 THEN 'added' ELSE 'unchanged' END AS status FROM files"))
@@ -431,15 +564,16 @@ def sync_plan(spark, sf_dir):
     return store.sync_plan(f.where("size % 3 = 0"), f.where("size % 5 = 0"), f.where("size % 7 = 0"))
 
 
-@query("stream_upsert")
+@query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) WHERE event_type <> 'error'")
 def stream_upsert(spark, sf_dir):
+    """Each user's last event, by a stream of the table; an error takes the user out."""
     import uuid
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    changes = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    incremental.stream_upsert(changes, at, "user_id", "event_id").awaitTermination()
-    return incremental.newest_snapshot(spark, at)
+    schema = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type").schema
+    changes = incremental.file_changes(spark, sf_dir, schema, "events.parquet").withColumn("gone", F.col("event_type") == "error")
+    incremental.stream_upsert(changes, at, "user_id", "event_id", "gone").awaitTermination()
+    return incremental.newest_snapshot(spark, at, changes.schema, "gone").drop("gone")
 
 
 @query("find_duplicates", """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND round(list_sum([a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE for i in range(1, 65)]), 6) >= 0.45),
@@ -450,6 +584,18 @@ def find_duplicates(spark, sf_dir):
     return clones.duplicate_groups(_t(spark, sf_dir, "embeddings"), 0.45, 50)
 
 
+_PAYLOAD = """, top AS (SELECT root, (SELECT count(*) FROM g WHERE g.root = p.root) AS size, round(avg(s), 6) AS similarity, round(min(s), 6) AS min_similarity FROM p GROUP BY root ORDER BY size DESC, similarity DESC, root LIMIT 40)
+SELECT root, size, similarity, min_similarity, (SELECT string_agg(v::VARCHAR, ' ' ORDER BY v) FROM g WHERE g.root = top.root) AS members FROM top"""
+
+
+@query("clone_payload", ORACLE["find_duplicates"].rsplit("SELECT p.root", 1)[0] + _PAYLOAD)
+def clone_payload(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    places = v.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), "vec_id").alias("name"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    out = clones.clone_payload(v, places, 0.45)
+    return out.withColumn("members", F.array_join(F.transform("members", lambda m: m["id"].cast("string")), " "))
+
+
 #: Added blocks: the benchmark's items, and, as changed lines, the first block of each document whose id is divisible by 50.
 _ADDED_SQL = (
     f"""added AS (SELECT 2 * item_id AS block, 'added/item_' || item_id || '.txt' AS path, 1 AS start_line, len(string_split(text, chr(10))) AS end_line, text FROM benchmark
@@ -484,24 +630,35 @@ def name_similarity(spark, sf_dir):
     return p.select("page_id", name_similarity_of(F.col("name"), F.concat(F.col("name"), F.lit("_v2"))).alias("same"), name_similarity_of(F.col("name"), F.concat(F.lit("en/"), F.col("page_id").cast("string"))).alias("other"))
 
 
-@query("stale_refs", "SELECT doc_id, word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+tion')) AS word FROM documents) WHERE word NOT IN (SELECT lower(regexp_extract(text, '^[A-Za-z]+')) FROM documents)")
-def stale_refs(spark, sf_dir):
+def _marked(spark, sf_dir):
+    """Each document is a note; its words of -tion are marked references, and the first words of texts are the names there are."""
     d = _docs(spark, sf_dir)
-    found = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+tion"), F.lit(0))).alias("word")).distinct()
-    known = d.select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("word")).distinct()
-    return found.join(known, "word", "left_anti").select("doc_id", "word")
+    names = d.select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("name")).where("name <> ''").distinct()
+    text = F.regexp_replace(F.lower("text"), r"(^|[^a-z0-9_/-])([a-z]+tion)(?![a-z0-9_/-])", f"$1{references.MARK}$2")
+    return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), text.alias("text")), names
+
 
+_WORDS = "words AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_/-]+')) AS word FROM documents)"
 
-@query("bare_refs", "SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_/-])anre(?:$|[^A-Za-z0-9_/-])'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9_/-])anre(?:$|[^A-Za-z0-9_/-])')")
+
+@query("stale_refs", f"WITH {_WORDS} SELECT DISTINCT 'doc_' || doc_id AS source, word AS name FROM words WHERE regexp_full_match(word, '[a-z]+tion') AND word NOT IN (SELECT lower(regexp_extract(text, '^[A-Za-z]+')) FROM documents)")
+def stale_refs(spark, sf_dir):
+    notes, names = _marked(spark, sf_dir)
+    ascii_ = notes.withColumn("text", F.regexp_replace("text", "[^a-z0-9_/:\\-\\s]", " "))
+    return references.stale(ascii_, names)
+
+
+@query("bare_refs", "WITH runs AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_/-]+')) AS word FROM documents), known AS (SELECT DISTINCT regexp_extract(text, '^[a-zA-Z]+') AS name FROM documents) SELECT 'doc_' || doc_id AS source, word AS name, count(*) AS n, length(word) >= 10 AS confident FROM runs WHERE word IN (SELECT name FROM known WHERE name NOT IN ('', 'core')) GROUP BY ALL")
 def bare_refs(spark, sf_dir):
-    n = F.regexp_count("text", F.lit("(?:^|[^A-Za-z0-9_/-])anre(?:$|[^A-Za-z0-9_/-])")).cast("long")
-    return _docs(spark, sf_dir).select("doc_id", n.alias("n")).where("n > 0")
+    d = _docs(spark, sf_dir)
+    names = d.select(F.regexp_extract("text", "^[a-zA-Z]+", 0).alias("name")).where("name <> ''").distinct()
+    return references.unmarked(d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), "text"), names)
 
 
-@query("rename_refs", "SELECT doc_id, md5(regexp_replace(text, '(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])', '\\1renamed/reth\\2', 'g')) AS text FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])')")
+@query("rename_refs", "SELECT 'doc_' || doc_id AS name, md5(regexp_replace(text, '(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])', '\\1renamed/reth\\2', 'g')) AS text, len(regexp_extract_all(text, '(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])')")
 def rename_refs(spark, sf_dir):
-    rx = "(^|[^A-Za-z0-9_/-])reth($|[^A-Za-z0-9_/-])"
-    return _docs(spark, sf_dir).where(F.col("text").rlike(rx)).select("doc_id", F.md5(F.regexp_replace("text", rx, "$1renamed/reth$2").cast("binary")).alias("text"))
+    notes = _docs(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), "text")
+    return references.renamed(notes, "reth", "renamed/reth", marked_only=False).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def _notes(spark, sf_dir):
