@@ -274,7 +274,7 @@ def candidate_edges(classes: DataFrame, n_runs: int) -> DataFrame:
             break
         if some is None:  # no other class is split at any later depth
             split_ = rows.join(large.select("path"), "path").select("v").distinct()
-            some = cut(classes.select("v", "sketch", "mini").join(split_, "v", "left_semi"), "some", left)
+            some = cut(classes.select("v", "sketch", "mini").join(split_, "v", "left_semi"), "some", 16 * left)
         both = cut(split_again(rows, large, some), "splits", 16 * left)  # each row costs more than one that is only written
         found.append(both.where("path is null").select(F.col("v").alias("a"), F.col("home").alias("b")))
         rows = both.where("path is not null")
