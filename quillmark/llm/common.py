@@ -52,6 +52,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+#: A table that is read only after its write returned needs no success mark, which would be a file more for the driver to make.
+NO_MARK = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
 #: Rows of a written table that a file takes at least, where their number is known.
 ROWS_A_FILE = 200_000
 
@@ -62,7 +64,7 @@ def cut(df: DataFrame, kind: str = "cut", rows: int | None = None) -> DataFrame:
     rows: about how many there are, where that is known: a small table then takes few tasks and files, as many as it needs.
     """
     path = scratch(df.sparkSession, kind)
-    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.option(*NO_MARK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

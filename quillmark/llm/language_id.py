@@ -8,7 +8,8 @@ whose two best losses differ by less than AMBIGUOUS is flagged.
 
 Cases: `und` with score 0 for a text that is null or has no letter; the one language, with score 1, if only one was
 learned; `und` if none was. Documents with a null language or id, or in the held-out fold, are never learned from. Repeated rows
-each get their own result; extra columns are ignored; empty tables give empty results.
+each get their own result; of languages with equal losses the first by name wins; extra columns are ignored; empty tables give
+empty results.
 """
 
 from __future__ import annotations

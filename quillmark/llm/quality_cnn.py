@@ -13,7 +13,7 @@ always reads whole documents.
 
 Cases: a null or empty text is one chunk of padding. Repeated rows each get their own result. Without labels of both
 classes, the score is the one class's share (1 if there is none). Null labels and extra columns are ignored; empty tables
-give empty results. A null doc_id is not held out, and never learned from.
+give empty results. A null doc_id is not held out, and never learned from. A score of exactly THRESHOLD is predicted 1.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ that probability is REJECT_BELOW or more.
 
 Cases: a null or empty text, or one without words, has no words, so a base rule fails it. A null doc_id is passed
 through. Repeated rows each get their own result. Without labels of both classes, the model's verdict is True for all.
-Extra columns are ignored. Empty tables give empty results.
+A probability of exactly REJECT_BELOW is kept. Extra columns are ignored by `transform` and carried by `filter`. Empty tables give
+empty results.
 """
 
 from __future__ import annotations

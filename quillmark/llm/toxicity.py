@@ -10,7 +10,7 @@ additive weights miss. Platt's calibration on a fifth of the sample gives the pr
 
 Cases: a null or empty text scores as one without terms. Repeated rows each get their own result. Without labels of both
 classes the score is the one class's share (0 if there is none). Null labels are ignored, extra columns too; empty tables
-give empty results. A null doc_id is not held out, and never learned from.
+give empty results. A null doc_id is not held out, and never learned from. A score of exactly THRESHOLD is predicted 1.
 """
 
 from __future__ import annotations
