@@ -183,6 +183,13 @@ def project_nodes(edges: DataFrame, limit: int) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("weight").alias("degree")).orderBy(F.desc("degree"), "node").limit(limit)
 
 
+def project_graph(corpus: Corpus, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The largest nodes, and the edges between them; the roll-up is made once."""
+    edges = checkpointed(project_edges(corpus))
+    nodes = project_nodes(edges, limit)
+    return nodes, kept_edges(edges, checkpointed(nodes))
+
+
 def kept_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
 

@@ -52,16 +52,20 @@ def hash_sign(token: Column) -> Column:
     return F.when(F.substring(F.md5(token.cast("binary")), 9, 1) >= "8", -1.0).otherwise(1.0)
 
 
-def hashed_vectors(bodies: DataFrame) -> DataFrame:
-    """(id, dim, x): the hashed unit vectors of (id, body), their non-zero parts. Bodies move once, by id; all three groupings
-    keep that partitioning."""
-    words = bodies.repartition("id").select("id", F.explode(tokens(F.col("body"))).alias("t"))
-    raw = words.groupBy("id", "t").count().groupBy("id", hash_slot(F.col("t")).alias("dim")).agg(F.sum(hash_sign(F.col("t")) * F.col("count")).alias("x")).where("x <> 0")
+def unit_vectors(words: DataFrame) -> DataFrame:
+    """(id, dim, x): the hashed unit vectors of counted words (id, term, n), their non-zero parts."""
+    raw = words.groupBy("id", hash_slot(F.col("term")).alias("dim")).agg(F.sum(hash_sign(F.col("term")) * F.col("n")).alias("x")).where("x <> 0")
     parts = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))  # DIM parts at most
     norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
     return parts.select("id", norm.alias("norm"), F.explode("p").alias("e")).select("id", "e.dim", (F.col("e.x") / F.col("norm")).alias("x"))
 
 
+def hashed_vectors(bodies: DataFrame) -> DataFrame:
+    """The same of texts (id, body). Bodies move once, by id; all groupings keep that partitioning."""
+    words = bodies.repartition("id").select("id", F.explode(tokens(F.col("body"))).alias("term"))
+    return unit_vectors(words.groupBy("id", "term").agg(F.count("*").alias("n")))
+
+
 def dense(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of sparse vectors (id, dim, x)."""
     rows = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "x"))).alias("p"))
@@ -104,7 +108,7 @@ class Corpus:
 
     def build(self) -> Corpus:
         """Make all tables now."""
-        _ = self.symbols, self.refs, self.vectors, self.postings, self.totals
+        _ = self.symbols, self.refs, self.terms, self.vectors, self.postings, self.totals
         return self
 
     @cached_property
@@ -145,22 +149,32 @@ class Corpus:
     @cached_property
     def uses(self) -> DataFrame:
         """(path, name, line, col): words that are a block's name."""
-        names = self.heads.where("kind = 'block'").select("name").distinct()
-        words = self.lines.select("path", F.col("lineno").alias("line"), F.posexplode(tokens(F.col("line"))).alias("k", "name")).select("path", "name", "line", (F.col("k") + 1).alias("col"))
-        return self.stored("uses", words.join(names, "name", "left_semi").select("path", "name", "line", "col"))
+        return self.refs.drop("owner_id")
 
     @cached_property
     def refs(self) -> DataFrame:
         """The uses with owner_id: the innermost symbol around them."""
         from quillmark.operators.joins import owner_of
 
-        return self.stored("refs", owner_of(self.uses, self.heads))
+        names = self.heads.where("kind = 'block'").select("name").distinct()
+        words = self.lines.select("path", F.col("lineno").alias("line"), F.posexplode(tokens(F.col("line"))).alias("k", "name")).select("path", "name", "line", (F.col("k") + 1).alias("col"))
+        return self.stored("refs", owner_of(words.join(names, "name", "left_semi").select("path", "name", "line", "col"), self.heads))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """(id, block, dl, term, f, n, words): each symbol's distinct words, counted with the columns' weights, in its body, and
+        in all; dl: its number of words. Texts are cut into words once, here, and move once, by id."""
+        fields = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c == "body").cast("int").alias("b"), tokens(F.col(c)).alias("ts")) for c, w in COLUMN_WEIGHTS.items()])
+        rows = self.symbols.select("id", (F.col("kind") == "block").alias("block"), *COLUMN_WEIGHTS).repartition("id").select("id", "block", fields.alias("fields"))
+        length = F.aggregate("fields", F.lit(0), lambda n, x: n + F.coalesce(F.size(x["ts"]), F.lit(0)))
+        words = rows.select("id", "block", length.alias("dl"), F.inline("fields")).select("id", "block", "dl", "w", "b", F.explode("ts").alias("term"))
+        return self.stored("terms", words.groupBy("id", "block", "dl", "term").agg(F.sum("w").alias("f"), F.sum("b").alias("n"), F.count("*").alias("words")))
 
     @cached_property
     def vectors(self) -> DataFrame:
         """(id, dim, x): the blocks' hashed unit vectors, their non-zero parts. The rows lie in ranges of dim, so a query reads
         its own dimensions only."""
-        unit = hashed_vectors(self.symbols.where("kind = 'block'").select("id", "body"))
+        unit = unit_vectors(self.terms.where("block AND n > 0").select("id", "term", "n"))
         return self.stored("vectors", unit.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id"))
 
     @cached_property
@@ -169,18 +183,14 @@ class Corpus:
 
         Rows lie in ranges of (term, id): a lookup reads the row groups of its terms, and a frequent term spans several files.
         """
-        fields = F.array(*[F.struct(F.lit(w).alias("w"), tokens(F.col(c)).alias("ts")) for c, w in COLUMN_WEIGHTS.items()])
-        rows = self.symbols.select("id", *COLUMN_WEIGHTS).repartition("id").select("id", fields.alias("fields"))
-        length = F.aggregate("fields", F.lit(0), lambda n, x: n + F.coalesce(F.size(x["ts"]), F.lit(0)))
-        words = rows.select("id", length.alias("dl"), F.inline("fields")).select("id", "dl", "w", F.explode("ts").alias("term"))
-        found = words.groupBy("id", "dl", "term").agg(F.sum("w").alias("f")).select("term", "id", "f", "dl")
-        return self.stored("postings", found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        return self.stored("postings", self.terms.select("term", "id", "f", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
 
     @cached_property
     def totals(self) -> DataFrame:
-        """One row (N, avgd): the number of symbols and their mean number of words."""
-        n = sum((F.coalesce(F.regexp_count(F.lower(c), F.lit(WORD)), F.lit(0)) for c in COLUMN_WEIGHTS), F.lit(0))
-        return self.stored("totals", self.symbols.agg(F.count("*").cast("double").alias("N"), F.avg(n).alias("avgd")))
+        """One row (N, avgd, avgc): the number of symbols, and their mean numbers of words and of three-character runs of the body."""
+        n = self.symbols.agg(F.count("*").cast("double").alias("N"), F.avg(F.greatest(F.lit(0), F.length("body") - 2)).alias("avgc"))
+        words = self.terms.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("double").alias("words"))
+        return self.stored("totals", n.crossJoin(F.broadcast(words)).select("N", (F.col("words") / F.col("N")).alias("avgd"), "avgc"))  # one row each
 
 
 #: The same tables for the oracle.

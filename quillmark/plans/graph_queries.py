@@ -100,13 +100,12 @@ def file_summary(spark, sf_dir):
 
 @query("project_graph_edges", with_corpus("SELECT src, dst, weight FROM pe WHERE src IN (SELECT node FROM pn) AND dst IN (SELECT node FROM pn)", EDGES))
 def project_graph_edges(spark, sf_dir):
-    e = G.project_edges(_c(spark, sf_dir))
-    return G.kept_edges(e, G.project_nodes(e, 20))
+    return G.project_graph(_c(spark, sf_dir), 20)[1]
 
 
 @query("project_graph_nodes", with_corpus("SELECT node, degree FROM pn", EDGES))
 def project_graph_nodes(spark, sf_dir):
-    return G.project_nodes(G.project_edges(_c(spark, sf_dir)), 20)
+    return G.project_graph(_c(spark, sf_dir), 20)[0]
 
 
 @query("busiest", with_corpus("SELECT r.name, callers, loc[1] AS path, loc[2] AS start_line FROM (SELECT name, count(DISTINCT owner_id) AS callers FROM refs WHERE owner_id IS NOT NULL GROUP BY name) r JOIN defs d ON d.name = r.name ORDER BY callers DESC, r.name LIMIT 15", DEFS))

@@ -76,7 +76,7 @@ def name_search(spark, sf_dir):
 
 @query("substring_search", with_corpus("SELECT id, score FROM sub ORDER BY score DESC, id LIMIT 20", _substring_sql("heed th")))
 def substring_search(spark, sf_dir):
-    return R.substring(Corpus.load(spark, sf_dir).symbols, "Heed th").orderBy(F.desc("score"), "id").limit(20)
+    return R.substring(Corpus.load(spark, sf_dir), "Heed th").orderBy(F.desc("score"), "id").limit(20)
 
 
 _LANG = "lang = 'en' AND kind = 'block'"
@@ -103,7 +103,7 @@ def hybrid_filtered(spark, sf_dir):
     return R.hybrid(Corpus.load(spark, sf_dir), QUERY, LIMIT, (F.col("lang") == "en") & (F.col("kind") == "block")).select("id", "path", "name", "score", "sources")
 
 
-@query("semantic_search", with_corpus(f"SELECT s.id, path, name, round(1.0::DOUBLE / k, 6) AS score FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS k FROM by_vector) v JOIN symbols s ON v.id = s.id WHERE k <= {LIMIT}", _vector_sql("de la que en")))
+@query("semantic_search", with_corpus(f"SELECT s.id, path, name, round(1.0::DOUBLE / k, 6) AS score, 'vector' AS source FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS k FROM by_vector) v JOIN symbols s ON v.id = s.id WHERE k <= {LIMIT}", _vector_sql("de la que en")))
 def semantic_search(spark, sf_dir):
     return R.semantic(Corpus.load(spark, sf_dir), "de la que en", LIMIT)
 

@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A table that is read only after its write returned needs no success mark.
+NO_MARK = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Where it is unset it is made below the warehouse, which a cluster shares too, or, in
     local mode alone, as in tests, in a temporary folder."""
@@ -26,7 +30,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     table is broadcast. It goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/cuts/{uuid.uuid4().hex}"
     atexit.register(_forget, df.sparkSession, path)
-    df.write.parquet(path)
+    df.write.option(*NO_MARK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

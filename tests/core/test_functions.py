@@ -51,7 +51,9 @@ def test_names_and_html():
 def test_blank_and_short_queries(spark):
     docs = spark.createDataFrame([(1, "alpha beta\ngamma", "en", "s", 16)], DOCS)
     c = Corpus(docs)
-    assert R.hybrid(c, "  ").count() == 0 and R.substring(c.symbols, "ab").count() == 0
+    assert R.hybrid(c, "  ").count() == 0 and R.substring(c, "ab").count() == 0
+    assert {(r.name, r.source) for r in R.semantic(c, "gamma").collect()} == {("alpha", "vector")}
+    assert {(r.name, r.source) for r in R.semantic(c, "doc").collect()} == {("doc_1", "bm25"), ("alpha", "bm25")}  # by its path
     hit = R.hybrid(c, "alpha").collect()
     assert {r.name for r in hit} == {"alpha", "doc_1"} and set(hit[0].sources.split(",")) <= set(R.FUSION)
 
