@@ -1,4 +1,11 @@
-"""A training corpus from `documents`, in five stages. Each stage's rows are written as Parquet and read again."""
+"""A training corpus from `documents`, in five stages. Each stage's rows are written as Parquet and read again.
+
+Cases: null, empty and blank texts have no words, so the first stage rejects them; the later ones would keep them as they are. A
+null language or source is a value of its own in the mixing. Rows with a null id are joined with nothing, so they stay, and
+are sampled by the text `null`. Rows that repeat an id and a text go through together until the join keeps one of them; of an
+id with several texts each is kept or dropped by itself. Extra columns are carried, whatever their names; those that the last
+stage adds get underscores before them where a name is taken. An empty table gives empty results.
+"""
 
 from __future__ import annotations
 
