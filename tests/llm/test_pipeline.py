@@ -1,6 +1,7 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quillmark.llm import queries
@@ -103,6 +104,27 @@ def test_stages_equal_brute_force(spark, small):
     assert {i: r.copies for i, r in after["mixing"].items()} == copies
 
 
+def test_odd_documents(spark, small, docs_of, odd, words):
+    """Nulls in any column, blank and long texts, repeated rows and ids, and columns with the names that stages use."""
+    a, b, c, d = (" ".join(words(60, k)) for k in range(70, 74))
+    ids = [*range(len(odd)), 50, 50, 51, 51, None, None, 52, 53]
+    docs = docs_of([*odd, a, a, b, c, d, d, f"{a} more", None], ids)
+    docs = docs.withColumns({"lang": F.when(F.col("doc_id") != 51, F.col("lang")), "source": F.when(F.col("doc_id") != 52, F.col("source")), "n_chars": F.when(F.col("doc_id") != 53, F.col("n_chars")), "removed": F.lit("mine"), "copies": F.lit(-1), "__gone": F.lit(0), "tokens": F.lit("t")})
+    kept = {}
+    for name, stage in P.STAGES:
+        before, docs = docs.columns, cut(stage(spark, docs, small))
+        kept[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        assert docs.columns[: len(before)] == before and docs.where("removed <> 'mine' or copies <> -1 or tokens <> 't'").count() == 0
+        if name != P.STAGES[-1][0]:
+            assert docs.columns == before
+    ordinary = sorted([(50, a), (50, a), (51, b), (51, c), (None, d), (None, d), (52, f"{a} more")], key=str)
+    assert [x for x in kept["quality rules"] if x in ordinary] == ordinary and all(x in ordinary or x[1] in odd for x in kept["quality rules"])
+    assert not any(t is None or not t.split() for _, t in kept["quality rules"])
+    once = sorted([(50, a), (51, b), (51, c), (None, d), (None, d)], key=str)
+    assert [x for x in kept["n-gram Jaccard join"] if x[1] in (a, b, c, d, f"{a} more")] == once
+    assert set(kept["mixing"]) <= set(kept["benchmark decontamination"])
+
+
 def test_empty_documents(spark, small, docs_of):
     docs = docs_of([])
     for _, stage in P.STAGES:
