@@ -53,7 +53,7 @@ def callees_of(corpus: Corpus, callers: DataFrame) -> DataFrame:
     used = corpus.refs.select(F.col("owner_id").alias("caller_id"), F.col("name").alias("callee")).join(callers, "caller_id", "left_semi").distinct()
     steps = checkpointed(used.join(own, "caller_id").where("caller <> callee").select("caller_id", "callee", "from_path"))
     names = steps.select(F.col("callee").alias("name")).distinct()
-    defs = checkpointed(corpus.heads.where("kind = 'block'").join(names, "name", "left_semi").groupBy("name", "path").agg(F.min(F.struct("path", "start_line", "id")).alias("near")))
+    defs = corpus.heads.where("kind = 'block'").join(names, "name", "left_semi").groupBy("name", "path").agg(F.min(F.struct("path", "start_line", "id")).alias("near"))
     local = defs.select(F.col("path").alias("from_path"), F.col("name").alias("callee"), "near")
     first = defs.groupBy(F.col("name").alias("callee")).agg(F.min("near").alias("far"))
     return steps.join(local, ["from_path", "callee"], "left").join(first, "callee").select("caller_id", "callee", F.coalesce("near", "far").alias("to"))
@@ -172,7 +172,7 @@ def file_summary(corpus: Corpus, path: str) -> DataFrame:
 
 def project_edges(corpus: Corpus) -> DataFrame:
     """(src, dst, weight): references across files to names with one defining file, rolled up to folders."""
-    only = corpus.heads.where("kind = 'block'").groupBy("name").agg(F.min("path").alias("to_path"), F.max("path").alias("last")).where("to_path = last").select("name", "to_path")
+    only = checkpointed(corpus.heads.where("kind = 'block'").groupBy("name").agg(F.min("path").alias("to_path"), F.max("path").alias("last")).where("to_path = last").select("name", "to_path"))
     cross = corpus.uses.select("name", "path").join(only, "name").where("path <> to_path")
     return cross.groupBy(group_key(F.col("path")).alias("src"), group_key(F.col("to_path")).alias("dst")).agg(F.count("*").alias("weight")).where("src <> dst")
 

@@ -127,7 +127,7 @@ class Corpus:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        """(id, path, lang, name, kind, start_line, end_line, signature, body)."""
+        """(id, path, lang, name, kind, start_line, end_line, chars, signature, body)."""
         cut = F.split("text", "\n", -1)
         base = self.docs.select("doc_id", "path", "lang", "text", cut.alias("a"))
         signature = F.substring(F.trim(F.get(F.split("body", "\n", -1), F.lit(0))), 1, SIGNATURE)
@@ -139,7 +139,7 @@ class Corpus:
             (F.col("k") * BLOCK_LINES + 1).alias("start_line"), F.least(F.size("a"), (F.col("k") + 1) * BLOCK_LINES).alias("end_line"),
             F.array_join(F.slice("a", F.col("k") * BLOCK_LINES + 1, BLOCK_LINES), "\n").alias("body"),
         ).where("name is not null")
-        return self.stored("symbols", whole.unionByName(parts).select("id", "path", "lang", "name", "kind", "start_line", "end_line", signature.alias("signature"), "body"))
+        return self.stored("symbols", whole.unionByName(parts).select("id", "path", "lang", "name", "kind", "start_line", "end_line", F.length("body").alias("chars"), signature.alias("signature"), "body"))
 
     @cached_property
     def heads(self) -> DataFrame:
@@ -179,16 +179,17 @@ class Corpus:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(term, id, f, dl): the words of each symbol, with weighted counts and the symbol's number of words.
+        """(term, id, f, n, dl): the words of each symbol, with weighted counts, counts in the body, and the symbol's number of
+        words.
 
         Rows lie in ranges of (term, id): a lookup reads the row groups of its terms, and a frequent term spans several files.
         """
-        return self.stored("postings", self.terms.select("term", "id", "f", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        return self.stored("postings", self.terms.select("term", "id", "f", "n", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
 
     @cached_property
     def totals(self) -> DataFrame:
         """One row (N, avgd, avgc): the number of symbols, and their mean numbers of words and of three-character runs of the body."""
-        n = self.symbols.agg(F.count("*").cast("double").alias("N"), F.avg(F.greatest(F.lit(0), F.length("body") - 2)).alias("avgc"))
+        n = self.symbols.agg(F.count("*").cast("double").alias("N"), F.avg(F.greatest(F.lit(0), F.col("chars") - 2)).alias("avgc"))
         words = self.terms.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("double").alias("words"))
         return self.stored("totals", n.crossJoin(F.broadcast(words)).select("N", (F.col("words") / F.col("N")).alias("avgd"), "avgc"))  # one row each
 
