@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.similarity import BORDER, SUFFIX, may_reach, name_similarity, name_similarity_of
+from quillmark.sources.shared import checkpointed
 
 #: The mark, a name's characters, and the thresholds.
 MARK = "mem:"
@@ -54,7 +55,7 @@ def mentions(notes: DataFrame) -> DataFrame:
 
 def unmarked(notes: DataFrame, names: DataFrame) -> DataFrame:
     """(source, name, n, confident): unmarked mentions of names other than the note's own."""
-    known = names.select(F.col("name").alias("token")).distinct().where(~last_part(F.col("token")).isin(*IGNORED))
+    known = checkpointed(names.select(F.col("name").alias("token")).distinct().where(~last_part(F.col("token")).isin(*IGNORED)))  # written, so that a hot name's partition can be split
     found = mentions(notes).join(known, "token").where((F.col("token") != F.col("source")) & (F.col("token") != last_part(F.col("source"))))
     return found.select("source", F.col("token").alias("name"), "n", distinctive(F.col("token")).alias("confident"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.sources.shared import checkpointed
@@ -14,10 +14,10 @@ def lines(documents: DataFrame) -> DataFrame:
 
 
 def regex_lines(documents: DataFrame, pattern: str, per_file: int) -> DataFrame:
-    """(doc_id, line_no, text): a file's first matching lines, from 1, stripped."""
-    hit = lines(documents.where(F.col("text").rlike(pattern))).where(F.col("line").rlike(pattern))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
-    return hit.withColumn("r", rank).where(F.col("r") <= per_file).select("doc_id", (F.col("k") + 1).cast("long").alias("line_no"), F.substring(F.trim("line"), 1, 200).alias("text"))
+    """(doc_id, line_no, text): a file's first matching lines, from 1, stripped. Lines are matched one by one, within their row."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("k"), x.alias("line")))
+    hits = F.slice(F.filter(numbered, lambda r: r["line"].rlike(pattern)), 1, per_file)
+    return documents.select("doc_id", F.inline(hits)).select("doc_id", (F.col("k") + 1).cast("long").alias("line_no"), F.substring(F.trim("line"), 1, 200).alias("text"))
 
 
 def with_context(documents: DataFrame, pattern: str, before: int, after: int) -> DataFrame:

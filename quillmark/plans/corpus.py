@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources.shared import exists, remove, shared_dir
+from quillmark.sources.shared import checkpointed, exists, remove, shared_dir
 
 #: The corpora of this process, by application and folder.
 _LOADED: dict[tuple[str, str], Corpus] = {}
@@ -156,7 +156,7 @@ class Corpus:
         """The uses with owner_id: the innermost symbol around them."""
         from quillmark.operators.joins import owner_of
 
-        names = self.heads.where("kind = 'block'").select("name").distinct()
+        names = checkpointed(self.heads.where("kind = 'block'").select("name").distinct())  # written, so that a hot word's partition can be split
         words = self.lines.select("path", F.col("lineno").alias("line"), F.posexplode(tokens(F.col("line"))).alias("k", "name")).select("path", "name", "line", (F.col("k") + 1).alias("col"))
         return self.stored("refs", owner_of(words.join(names, "name", "left_semi").select("path", "name", "line", "col"), self.heads))
 

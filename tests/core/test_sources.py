@@ -282,3 +282,44 @@ def test_runs_and_watchers(spark, tmp_path):
 
     assert runs.start_watcher(spark, "/f", start)["running"] and runs.start_watcher(spark, "/f/", start)["running"] and len(made) == 1
     assert not runs.stop_watcher(spark, "/f")["running"] and not runs.watcher_status(spark, "/f")["running"]
+
+
+def test_events_are_given_once(spark, tmp_path):
+    from quillmark.streaming import events as V
+
+    rows = [(k, k != 7, "reindex", "p", k == 2, "two" if k == 2 else None) for k in range(10)]
+    log = spark.createDataFrame(rows, "event_id long, finished boolean, action string, project string, failed boolean, detail string")
+    at = f"file://{tmp_path}/seen"
+    first = V.take_unseen(log, at, "a", keep=8)
+    assert [r.event_id for r in first] == [2, 3, 4, 5, 6] and V.take_unseen(log, at, "a", keep=8) == []
+    assert [r.event_id for r in V.take_unseen(log.withColumn("finished", F.lit(True)), at, "a")] == [7, 8, 9]
+    assert len(V.take_unseen(log, at, "b")) == 7 and V.notice([]) == ""
+    assert "  - reindex on p (FAILED) - two" in V.notice(first)
+
+
+def test_tools_by_name(spark):
+    from quillmark.plans import tools
+
+    c = Corpus(spark.createDataFrame([(1, "alpha beta\n0\n0\n0\n0\nbeta gamma", "en", "s", 9), (2, "alpha beta\n0\n0\n0\n0\nbeta gamma", "en", "tests", 9)], DOCS))
+    assert {r.path for r in tools.call(c, "search_code", query="alpha", exclude_tests=True).collect()} == {"s/en/doc_1.txt"}
+    assert tools.call(c, "get_dependents", name="beta").count() == 2 and tools.call(c, "search_regex", pattern="^beta").count() == 2
+    groups = tools.call(c, "find_duplicate_code", min_lines=1).collect()
+    assert sorted(len(g.members) for g in groups) == [2, 2] and all(g.min_similarity == 1.0 for g in groups)
+    assert {"get_call_chain", "get_code_context"} <= set(tools.describe()) and "name" in tools.describe()["get_dependents"][0]
+    with pytest.raises(ValueError):
+        tools.call(c, "nothing")
+    assert tools.shortened([lambda: "long text", lambda: "short"], 5) == "short" and "too long" in tools.shortened([lambda: "x" * 9], 5)
+
+
+def test_similar_pairs_in_any_number_of_parts(spark):
+    from quillmark.operators.clones import duplicate_groups, similar_pairs
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 8))
+    x[30:45] = x[:15] + rng.normal(0, 0.05, (15, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if round(float(x[i] @ x[j]), 6) >= 0.8}
+    for block in (7, 4096):
+        assert {(r.a, r.b) for r in similar_pairs(v, 0.8, block).collect()} == want
+    assert sum(r.size for r in duplicate_groups(v, 0.8, 100).collect()) == len({i for p in want for i in p})
