@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -104,12 +105,20 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: Colu
     return joined, counts
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds what its last one took otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df, batch by batch, through f."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield f(b)
+        tidy()
 
     return df.mapInArrow(each, schema)
 
@@ -121,5 +130,6 @@ def arrow_filter(df: DataFrame, text_col: str, keep: Callable[[pa.Array], pa.Arr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(keep(b.column(at)))
+        tidy()
 
     return df.mapInArrow(each, df.schema)

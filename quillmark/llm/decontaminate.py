@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_filter, cut
+from quillmark.llm.common import arrow_filter, cut, tidy
 
 EDIT_PERCENT = 6
 SHORT = 24
@@ -158,6 +158,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                 rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in m.search(t)]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
+            tidy()
 
         part = documents.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, distance int, end long")
         parts.append(part if n == 1 else cut(part, "matches"))

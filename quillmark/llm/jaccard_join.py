@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm import vec
-from quillmark.llm.common import cut, fresh
+from quillmark.llm.common import cut, fresh, tidy
 from quillmark.llm.components import counted_components
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def digest_table(documents: DataFrame) -> DataFrame:
                 short = (flat & 0xFF).astype(np.uint8)
                 cells = [pa.array([x[k].tobytes() if f else None for k, f in zip(where, full.tolist(), strict=True)], pa.binary()) for x in (flat, short)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(ch.lo, ch.hi - ch.lo), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), *cells], names=["doc_id", "size", "d1", "d2", "sketch", "mini"])
+        tidy()
 
     return documents.select("doc_id", "text").mapInArrow(each, "doc_id long, size long, d1 long, d2 long, sketch binary, mini binary")
 
@@ -231,6 +232,7 @@ def by_group(keys: list[str], flush: Callable[[pa.RecordBatch], pa.RecordBatch |
                         yield from whole()
                     held.append(b.slice(lo, hi - lo))
         yield from whole()
+        tidy()
 
     return each
 
@@ -347,6 +349,7 @@ def compare_blocks(documents: DataFrame, members: DataFrame) -> DataFrame:
                 mine = pa.array((d1 == part.column("v").to_numpy()) & (d2 == part.column("d2").to_numpy()))  # of a repeated id, the text of this class
                 keyed = pa.array([keys[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), keyed], names=[*names, "keys"]).filter(mine)
+        tidy()
 
     got = texts.select("text", *names, "d2").mapInArrow(sets, "v long, docs long, block long, parts long, keys binary")
     return in_parts(got, "block", F.col("parts"), ["v", "docs", "keys"]).mapInArrow(by_group(["block", "lo", "hi"], _compared), "v long, links long, other long")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1_000_000
+CHUNK, ROWS = 1_000_000, 1000
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -40,18 +40,17 @@ def _ranges(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 
 def byte_chunks(column, size: int = CHUNK) -> Iterator[Chunk]:
-    """The same with UTF-8 bytes instead of code points."""
+    """The same with UTF-8 bytes instead of code points. ROWS rows are converted at a time, so no copy of the column is made."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if n == 0:
-        return
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    for lo, hi in _ranges(np.diff(offs), size):
-        yield Chunk(lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+    for first in range(0, len(column), ROWS):
+        part = pc.fill_null(column.slice(first, ROWS).cast(pa.large_string()), "")
+        n = len(part)
+        _, offsets, data = part.buffers()
+        offs = np.frombuffer(offsets, np.int64, n + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        for lo, hi in _ranges(np.diff(offs), size):
+            yield Chunk(first + lo, first + hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
 
 def chunks(column, size: int = CHUNK) -> Iterator[Chunk]:
