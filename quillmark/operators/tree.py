@@ -72,6 +72,15 @@ def at_location(symbols: DataFrame, path: str, line: int, col: int = 0) -> DataF
     return symbols.where((F.col("path") == path) & (F.col("start_line") == line) & (F.lit(col) == F.coalesce(F.col("start_col"), F.lit(0)) if "start_col" in symbols.columns else F.lit(True)))
 
 
+def distinct_locations(found: DataFrame) -> DataFrame:
+    """Symbols that several servers give (path, line, col, kind, ...), one for each place and kind: the first by its other columns."""
+    keys = ["path", "line", "col", "kind"]
+    rest = [c for c in found.columns if c not in keys]
+    if not rest:
+        return found.distinct()
+    return found.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+
+
 def path_nodes(files: DataFrame) -> DataFrame:
     """(node, parent, kind, depth): the folders and files of all paths."""
     p = F.split("path", "/")

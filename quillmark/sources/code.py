@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import checkpointed, exists
+
 #: A symbol: name, kind, first and last line from 1, signature, body. A reference: name, line, column.
 Symbol = tuple[str, str, int, int, str, str]
 Reference = tuple[str, int, int]
@@ -60,6 +62,32 @@ EXTRACTORS: dict[str, Extractor] = {"python": python}
 def extract(files: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
     """symbols (path, lang, name, kind, start_line, end_line, signature, body) and references (path, name, line, col) of files
     (path, lang, content). Languages without an extractor give nothing."""
+    return _split(_rows(files, extractors))
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    symbols = rows.where("symbol").select("path", "lang", "name", "kind", "start_line", "end_line", "signature", "body")
+    return symbols, rows.where("not symbol").select("path", "name", "line", "col")
+
+
+def cached_extract(files: DataFrame, folder: str, version: int = 1, extractors: dict[str, Extractor] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
+    """The same, by a cache below the folder: only files whose content it hasn't seen with this version are parsed. A file's rows
+    are kept by path and content hash; a file without any has one empty row, so that it isn't parsed again."""
+    spark, at = files.sparkSession, f"{folder.rstrip('/')}/version={version}"
+    keyed = files.select("path", "lang", F.coalesce("content", F.lit("")).alias("content")).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    schema = f"hash string, {ROWS}"
+    none = spark.createDataFrame([], schema)
+    known = spark.read.schema(schema).parquet(at) if exists(spark, at) else none
+    new = checkpointed(keyed.join(known.select("path", "hash").distinct(), ["path", "hash"], "left_anti"))
+    if not new.isEmpty():
+        made = new.select("path", "hash").join(_rows(new, extractors), "path", "left").select(*none.columns)
+        made.write.mode("append").parquet(at)
+        known = spark.read.schema(schema).parquet(at)
+    rows = known.join(keyed.select("path", "hash"), ["path", "hash"], "left_semi").where("symbol is not null")
+    return _split(rows.drop("hash"))
+
+
+def _rows(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
     found = dict(extractors)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +101,4 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS) ->
             names = [c.split()[0] for c in ROWS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    rows = files.select("path", "lang", "content").where(F.col("lang").isin(*found)).mapInArrow(each, ROWS)
-    symbols = rows.where("symbol").select("path", "lang", "name", "kind", "start_line", "end_line", "signature", "body")
-    return symbols, rows.where("not symbol").select("path", "name", "line", "col")
+    return files.select("path", "lang", "content").where(F.col("lang").isin(*found)).mapInArrow(each, ROWS)

@@ -35,6 +35,10 @@ class VectorStore:
         rows = self.spark.read.schema(VECTORS).parquet(f"{self.folder}/{at[1]}")
         return rows
 
+    def any(self) -> bool:
+        """Whether there is a vector at all."""
+        return not self.vectors().isEmpty()
+
     def missing(self, rows: DataFrame) -> DataFrame:
         """The rows (id, text) that have no vector yet; blank texts never get one."""
         return rows.where(F.col("text").rlike(r"\S")).join(self.vectors().select(F.col("vec_id").alias("id")), "id", "left_anti")

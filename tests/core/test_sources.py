@@ -125,6 +125,28 @@ def test_python_symbols(spark):
     assert code.extract(rows, {"go": words})[0].count() == 3
 
 
+def test_a_cache_parses_changed_files_only(spark, tmp_path):
+    at, asked = f"file://{tmp_path}/cache", f"{tmp_path}/asked"
+
+    def spy(source):
+        with open(asked, "a") as f:
+            f.write(source + "|")
+        return [(source, "word", 1, 1, source, source)] if source != "none" else [], []
+
+    run = lambda *rows: {r.name for r in code.cached_extract(spark.createDataFrame(list(rows), "path string, lang string, content string"), at, 1, {"x": spy})[0].collect()}
+    assert run(("a", "x", "one"), ("b", "x", "none"), ("c", "y", "two")) == {"one"}
+    assert run(("a", "x", "one"), ("b", "x", "none"), ("d", "x", "three")) == {"one", "three"}
+    assert run(("a", "x", "four"), ("b", "x", "none")) == {"four"} and run(("a", "x", "one")) == {"one"}
+    with open(asked) as f:
+        assert sorted(f.read().split("|")) == ["", "four", "none", "one", "three"]
+
+
+def test_locations_of_several_servers(spark):
+    rows = spark.createDataFrame([("a", 1, 0, "class", "X", "s2"), ("a", 1, 0, "class", "X", "s1"), ("a", 1, 0, "method", "X", "s1")], "path string, line int, col int, kind string, name string, server string")
+    assert sorted((r.kind, r.server) for r in tree.distinct_locations(rows).collect()) == [("class", "s1"), ("method", "s1")]
+    assert tree.distinct_locations(rows.select("path", "line", "col", "kind")).count() == 2
+
+
 def test_a_tree_of_files(spark, tmp_path):
     for name, body in {"a.py": "x = 1", "b/c.go": "package c", "node_modules/d.js": "1", "b/e.bin": "z", "f.py": "a\0b", "g.rs": "fn"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -158,7 +180,7 @@ def test_embedders_and_their_store(spark, tmp_path):
 
     store = vectors.VectorStore(spark, f"file://{tmp_path}/vectors")
     rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, " "), (4, None)], "id long, text string")
-    assert store.vectors().count() == 0 and store.backfill(rows.where("id = 1"), Model()) == "rebuilt" and store.backfill(rows, Model()) == "filled"
+    assert not store.any() and store.backfill(rows.where("id = 1"), Model()) == "rebuilt" and store.backfill(rows, Model()) == "filled"
     assert {r.vec_id: r.embedding for r in store.vectors().collect()} == {1: [1.0, 1.0], 2: [2.0, 1.0]}
     assert store.backfill(rows, h, explicit=False) == "kept" and store.pointer()[0] == "model-2"
     assert store.backfill(rows, h) == "rebuilt" and {len(r.embedding) for r in store.vectors().collect()} == {8}
