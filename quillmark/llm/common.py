@@ -56,7 +56,7 @@ def scratch(spark: SparkSession, kind: str) -> str:
 #: A table that is read only after its write returned needs no success mark, which would be a file more for the driver to make.
 NO_MARK = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
 #: Rows of a written table that a file takes at least, where their number is known.
-ROWS_A_FILE = 200_000
+ROWS_A_FILE = 50_000
 
 
 def cut(df: DataFrame, kind: str = "cut", rows: int | None = None) -> DataFrame:
