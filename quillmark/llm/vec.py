@@ -161,6 +161,7 @@ def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Sums of values[lo:hi] for each pair of bounds (0 where hi <= lo)."""
+    """Sums of values[lo:hi] for each pair of bounds (0 where hi <= lo, even where these lie behind the last value)."""
     sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return sums[np.maximum(lo, hi)] - sums[lo]
+    some = hi > lo
+    return sums[np.where(some, hi, 0)] - sums[np.where(some, lo, 0)]

@@ -91,3 +91,13 @@ def test_verdicts_equal_plain_loops(spark, small, odd):
         assert abs(got["probability"][i] - p) < 1e-4
         if abs(p - REJECT_BELOW) > 1e-4:
             assert bool(got["kept"][i]) == (n >= 10 and 100 * again <= 20 * n and p >= REJECT_BELOW)
+
+
+@pytest.mark.parametrize("tail", [None, "", "x", "ab", "abc", "abcd"])
+def test_short_texts_at_the_end_of_a_chunk(words, tail):
+    """Texts with fewer code points than an n-gram have none, also where no other text follows."""
+    rng = np.random.default_rng(3)
+    model = QualityRules(rng.normal(0, 0.1, 1 << 18).astype(np.float32), 0.2)
+    texts = [" ".join(words(30, 1)), tail, tail]
+    alone = [model.score(pa.array([t, " ".join(words(30, 2))], pa.string()))["probability"][0] for t in texts]
+    assert np.allclose(model.score(pa.array(texts, pa.string()))["probability"], alone, atol=1e-9)
