@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,16 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 #: A table that is read only after its write returned needs no success mark, which would be a file more for the driver to make.
 NO_MARK = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+
+
+def made(path: str) -> str:
+    """path, with the folders that a write makes in it first, if it is a local one. For each folder that Hadoop makes itself there
+    it starts a `chmod`, a child that shares the driver's whole memory for a moment."""
+    if path.startswith("file:"):
+        os.makedirs(f"{urlsplit(path).path}/_temporary/0/_temporary", exist_ok=True)
+    return path
+
+
 #: Rows of a written table that a file takes at least, where their number is known.
 ROWS_A_FILE = 50_000
 
@@ -64,8 +76,8 @@ def cut(df: DataFrame, kind: str = "cut", rows: int | None = None) -> DataFrame:
 
     rows: about how many there are, where that is known: a small table then takes few tasks and files, as many as it needs.
     """
-    path = scratch(df.sparkSession, kind)
-    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.option(*NO_MARK).parquet(path)
+    path = made(scratch(df.sparkSession, kind))
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.mode("append").option(*NO_MARK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

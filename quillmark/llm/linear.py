@@ -1,4 +1,4 @@
-"""Logistic models over sparse rows, fitted with Adam on the driver from a bounded sample, and Platt's calibration."""
+"""Logistic models over sparse rows, fitted with Adam from a bounded sample, and Platt's calibration."""
 
 from __future__ import annotations
 

@@ -14,12 +14,14 @@ empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmark.llm import vec
-from quillmark.llm.common import arrow_filter, arrow_map, labelled
+from quillmark.llm.common import arrow_filter, arrow_map, labelled, tidy
 from quillmark.llm.linear import Rows, class_weights, fit, platt, sigmoid
 
 BITS = 18
@@ -106,6 +108,28 @@ def _sparse(c, offs) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+#: What the model learns from: by sampled document its label, and its features' columns and values.
+FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("col", pa.binary()), ("val", pa.binary())])
+
+
+def _learned(rows: pa.Table, counts: dict) -> tuple[np.ndarray, float, float, float] | None:
+    """Weights, intercept, slope and shift; None without rows of both classes. One task learns them from the bounded sample, so
+    that the driver gets nothing but the model."""
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    y = rows["label"].to_numpy().astype(float)[order]
+    if len(np.unique(y)) < 2:
+        return None
+    seen = np.arange(len(order)) % 5 != 0
+
+    def part(at: np.ndarray) -> Rows:
+        cells = lambda name, kind: [np.frombuffer(rows[name][i].as_buffer(), kind) for i in order[at].tolist()]
+        return Rows(cells("col", np.int32), cells("val", np.float32))
+
+    x, rest = part(seen), part(~seen)
+    w, b = fit(x, y[seen], class_weights(y[seen]), 1 << BITS)
+    return w, b, *platt(rest.dot(w) + b, y[~seen], class_weights(y[~seen], counts))
+
+
 class QualityRules:
     """The fitted model: weights, intercept, and the calibration's slope and shift. model None: no verdict."""
 
@@ -123,22 +147,16 @@ class QualityRules:
             cols = [pa.array([x[k].tobytes() for x in cells], pa.binary()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "label", "col", "val"])
 
-        rows = arrow_map(sample, features, "doc_id long, label int, col binary, val binary").toArrow()
-        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-        y = rows["label"].to_numpy().astype(float)[order]
-        if len(np.unique(y)) < 2:
-            return cls()
-        seen = np.arange(len(order)) % 5 != 0
-
-        def part(at: np.ndarray) -> Rows:
-            cells = lambda name, kind: [np.frombuffer(rows[name][i].as_buffer(), kind) for i in order[at].tolist()]
-            return Rows(cells("col", np.int32), cells("val", np.float32))
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if (found := _learned(pa.Table.from_batches(batches, FEATURES), counts)) is not None:
+                w, *rest = found
+                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in rest)], names=["w", "b", "slope", "shift"])
+            tidy()
 
-        x, rest = part(seen), part(~seen)
-        del rows
-        w, b = fit(x, y[seen], class_weights(y[seen]), 1 << BITS)
-        slope, shift = platt(rest.dot(w) + b, y[~seen], class_weights(y[~seen], counts))
-        return cls(w, b, slope, shift)
+        rows = arrow_map(sample, features, "doc_id long, label int, col binary, val binary").repartition(1)
+        for r in rows.mapInArrow(learn, "w binary, b double, slope double, shift double").collect():
+            return cls(np.frombuffer(r.w, np.float32), r.b, r.slope, r.shift)
+        return cls()
 
     def score(self, column) -> dict[str, np.ndarray]:
         """The base counts, base_failed, the probability of quality 1, and kept, for each text."""

@@ -136,3 +136,14 @@ def test_each_operator_has_one_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_a_written_table_finds_its_folders_made(spark, tmp_path):
+    """So Hadoop starts no chmod for them on the driver; the write leaves nothing but its files."""
+    from quillmark.llm.common import made
+
+    at = made(f"file://{tmp_path}/a/b")
+    assert (tmp_path / "a/b/_temporary/0/_temporary").is_dir()
+    spark.range(5).write.mode("append").parquet(at)
+    assert spark.read.parquet(at).count() == 5 and not (tmp_path / "a/b/_temporary").exists()
+    assert made("viewfs://store/x") == "viewfs://store/x" and cut(spark.range(0), "none").count() == 0

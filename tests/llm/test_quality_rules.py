@@ -101,3 +101,13 @@ def test_short_texts_at_the_end_of_a_chunk(words, tail):
     texts = [" ".join(words(30, 1)), tail, tail]
     alone = [model.score(pa.array([t, " ".join(words(30, 2))], pa.string()))["probability"][0] for t in texts]
     assert np.allclose(model.score(pa.array(texts, pa.string()))["probability"], alone, atol=1e-9)
+
+
+def test_training_leaves_the_features_off_the_driver(spark, small, monkeypatch):
+    """The model is learned in a task; the driver gets one row of it."""
+    DataFrame = type(spark.range(0))
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("features on the driver"))
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append((self.columns, rows := collect(self))) or rows)
+    model = QualityRules.fit(table(spark, small, "documents"), table(spark, small, "labels"))
+    assert len(model.w) == 1 << 18 and [(c, len(r)) for c, r in got if c[0] != "label"] == [(["w", "b", "slope", "shift"], 1)]
